@@ -101,6 +101,6 @@ def mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None,
     n = max(1, docs.rdd.getNumPartitions())
     most = plan.agg(F.max("position")).first()[0] or 0
     a, h = docs, F.xxhash64(F.lit(seed), F.col(text))
-    df = a.withColumn("__h", h).join(plan.select("__id", "__source", "__hash", "position"), F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__h") == F.col("__hash")))
+    df = a.withColumn("__h", h).join(plan.select("__id", "__source", "__hash", "position").hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__h") == F.col("__hash")))
     df = df.withColumn("__p", F.floor(F.col("position") * n / (most + 1)).cast("int"))
     return df.repartitionById(n, F.col("__p")).sortWithinPartitions("position", doc_id).select(*[F.col(c) for c in docs.columns])

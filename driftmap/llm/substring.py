@@ -149,7 +149,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     places = written(places, "places")
     released(met, nodes)
     tidied(spark)
-    rows = written(spans(own.join(places, ["__d", "__t"]), window), "spans")
+    rows = written(spans(own.join(places.hint("merge"), ["__d", "__t"]), window), "spans")
     tidied(spark)
     first = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("__d", "start")).alias("first")).where("n > 1").select("a", "b", "first")
     later = rows.join(written(first, "first"), ["a", "b"]).where((F.col("__d") != F.col("first.__d")) | (F.col("start") != F.col("first.start")))
@@ -162,7 +162,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
 def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the kept words joined by one space)."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    df = keyed(docs, doc_id, text).join(removals(docs, doc_id, text, window), ["__d", "__t"], "left")
+    df = keyed(docs, doc_id, text).join(removals(docs, doc_id, text, window).hint("merge"), ["__d", "__t"], "left")
 
     def make():
         def one(text, cuts):
