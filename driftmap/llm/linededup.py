@@ -85,7 +85,7 @@ def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_doc
         runs.add(lines.where(F.col("batch") == k).select(ID, "a", "b").distinct())
     frequent = small(written(runs.frequent(), "frequent"))
     drop = lines.join(frequent, ["a", "b"]).groupBy(ID).agg(F.collect_set(F.struct("a", "b")).alias("__drop"))
-    df = docs.join(written(drop, "drop"), docs[doc_id].eqNullSafe(F.col(ID)), "left").drop(ID)
+    df = docs.join(written(drop, "drop").hint("merge"), docs[doc_id].eqNullSafe(F.col(ID)), "left").drop(ID)
     df = df.withColumn("__lines", lines_of(F.col(text)))
     stay = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: (F.length(F.btrim(x, F.lit(BLANKS))) < min_chars) | ~F.array_contains(F.col("__drop"), line_key(x))))
     df = df.withColumn("__stay", stay)
