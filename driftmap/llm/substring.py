@@ -22,36 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, add_columns, mixed, released, tidied, written
+from .common import Spans, WordHashes, add_columns, mixed, released, tidied, written
 
 KMER = 6
 NO_ID = -(2**63)
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)
 
 
-class Spans:
-    """Hashes of word spans by prefix sums of a polynomial modulo 2**64, with a base and its inverse powers."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            m = len(self.up)
-            self.up = np.concatenate((self.up, self.up * np.uint64(pow(self.base, m, 2**64))))
-            self.down = np.concatenate((self.down, self.down * np.uint64(pow(self.inverse, m, 2**64))))
-        return self.up[:n], self.down[:n]
-
-    def sums(self, hashes: np.ndarray) -> np.ndarray:
-        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * self.powers(len(hashes))[0], dtype=np.uint64)))
-
-    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the spans [start, end); spans of different lengths differ too."""
-        down = self.powers(len(sums))[1]
-        return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-
-
 class Words:
     """Per task: word hashes, span hashes and the named k-mers of texts."""
 
@@ -76,10 +53,9 @@ def edges(docs: DataFrame, window: int) -> DataFrame:
         for b in batches:
             out = []
             for d, t, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                words = (text or "").encode().split()
-                if len(words) < window:
+                h = w.hashes.of((text or "").encode())
+                if len(h) < window:
                     continue
-                h = w.hashes.of(words)
                 at = np.unique(w.named(h))
                 sums = w.one.sums(h)
                 next_ = w.one.of(sums, at[:-1], at[1:] + w.k) | np.uint64(1)
@@ -104,7 +80,7 @@ def spans(df: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             out = []
             for d, t, text, places in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                h = w.hashes.of((text or "").encode().split())
+                h = w.hashes.of((text or "").encode())
                 named = w.named(h)
                 flags = np.array(places, np.int64)
                 at = flags >> 2
