@@ -71,7 +71,7 @@ def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, d
     share = rounded({keys[k]: weights[k] for k in counts}, slots)
     table = spark.createDataFrame(round_schedule(share), "__key string, __i long, release long, deadline long, slot long")
     # Places within a source: rows are dealt by hash to enough parts that none is large, numbered in each part, and moved by the parts' running sums.
-    parts = max(1, max(counts.values()) // 20_000)
+    parts = max(1, max(counts.values()) // 2_000)
     units = units.withColumn("__key", F.coalesce(F.concat(F.lit("="), "__source"), F.lit(""))).withColumn("__part", F.pmod("__order", F.lit(parts)))
     before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sums = written(units.groupBy("__key", "__part").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count"), "sums")
