@@ -13,6 +13,7 @@ are stored.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from functools import cache
@@ -85,29 +86,52 @@ def masked_crcs(parts: list[bytes]) -> np.ndarray:
 
 
 class WordTokenizer:
-    """The tokenizers library over words, each encoded once: its vocabulary here drops white space, so words don't touch each other."""
+    """The tokenizers library over words, each encoded once: its vocabulary here drops white space, so words don't touch each other.
+
+    New words of many texts go to the library as one text, with a mark between them whose token shows where each ends.
+    """
+
+    MARK = "\x01"
 
     def __init__(self, path: str, cache: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.wide = self.library.get_vocab_size(True) > 65_536
-        self.kind = "<u4" if self.wide else "<u2"
+        self.kind = "<u4" if self.library.get_vocab_size(True) > 65_536 else "<u2"
+        self.mark = self.ids([self.MARK])
         self.cache: dict[bytes, bytes] = {}
         self.most = cache
 
-    def encode(self, text: str) -> bytes:
-        """Ids in self.kind, in bytes."""
-        words = text.encode().split()
-        new = [w for w in dict.fromkeys(words) if w not in self.cache]
-        if new and len(self.cache) + len(new) > self.most:
+    def ids(self, texts: list[str]) -> np.ndarray:
+        return np.array([i for e in self.library.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], self.kind)
+
+    def learn(self, new: list[bytes]) -> None:
+        plain = [w for w in new if self.MARK.encode() not in w] if len(self.mark) == 1 else []
+        if plain:
+            ids = self.ids([f"\n{self.MARK}\n".join(w.decode() for w in plain)])
+            ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+            raw, width, at = ids.tobytes(), ids.itemsize, 0
+            for w, end in zip(plain, ends, strict=True):
+                self.cache[w] = raw[at * width : end * width]
+                at = end + 1
+        for w in new if not plain else [w for w in new if self.MARK.encode() in w]:
+            self.cache[w] = self.ids([w.decode()]).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids in self.kind, in bytes."""
+        words = [(t or "").encode().split() for t in texts]
+        met = set().union(*words)
+        new = met.difference(self.cache)
+        if len(self.cache) + len(new) > self.most:
             self.cache.clear()
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.library.encode_batch([w.decode() for w in new], add_special_tokens=False) if new else [], strict=True):
-            self.cache[w] = np.array(e.ids, self.kind).tobytes()
-        return b"".join(map(self.cache.__getitem__, words))
+            new = met
+        if new:
+            self.learn(list(new))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, w)) for w in words]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,7 +140,14 @@ def tokenized(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", t
     def make():
         t = WordTokenizer(path)
         end = np.array([end_id], t.kind).tobytes()
-        return lambda col: ([t.encode(x or "") + end for x in col.to_pylist()],)
+
+        def run(col):
+            out = []
+            for k in range(0, len(col), 256):
+                out += [x + end for x in t.encode(col.slice(k, 256).to_pylist())]
+            return (out,)
+
+        return run
 
     df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return add_columns(df, ["text"], [("ids", T.BinaryType())], make).drop("text")
