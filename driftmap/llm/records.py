@@ -13,7 +13,9 @@ are stored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from functools import cache
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import byte_letters
 from .common import add_columns, shared_dir, written
 from .storage import opened, store
 
@@ -85,15 +88,39 @@ def masked_crcs(parts: list[bytes]) -> np.ndarray:
     return ((c >> np.uint32(15)) | (c << np.uint32(17))) + np.uint32(MASK)
 
 
+class Recent(dict):
+    """A cache of two generations: make(key) for unknown keys, and what is used moves from the old generation to this one."""
+
+    def __init__(self, make, old: dict | None = None):
+        self.make, self.old = make, old or {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def aged(self, most: int) -> Recent:
+        """Itself, or a new generation if there are more than ``most`` entries."""
+        if len(self) <= most:
+            return self
+        self.old = {}
+        return Recent(self.make, self)
+
+
 class WordTokenizer:
     """The tokenizers library over words, each encoded once: its vocabulary here drops white space, so words don't touch each other.
 
-    New words of many texts go to the library as one text, with a mark between them whose token shows where each ends.
+    Most words are letters with some punctuation behind them, which the library's pattern cuts apart and its normalizers
+    only lower-case. If the vocabulary is of that kind, new words of this form are cut here, and new parts go to the
+    library's model past the normalizers. All other words go through the whole library.
     """
 
-    MARK = "\x01"
+    #: Latin letters whose lower case and composition are themselves single letters, then ASCII punctuation.
+    SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, words: int = 150_000, parts: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -101,44 +128,53 @@ class WordTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = "<u4" if self.library.get_vocab_size(True) > 65_536 else "<u2"
-        self.mark = self.ids([self.MARK])
-        self.cache: dict[bytes, bytes] = {}
-        self.most = cache
-
-    def ids(self, texts: list[str]) -> np.ndarray:
-        return np.array([i for e in self.library.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], self.kind)
-
-    def learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if self.MARK.encode() not in w] if len(self.mark) == 1 else []
-        if plain:
-            ids = self.ids([f"\n{self.MARK}\n".join(w.decode() for w in plain)])
-            ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
-            raw, width, at = ids.tobytes(), ids.itemsize, 0
-            for w, end in zip(plain, ends, strict=True):
-                self.cache[w] = raw[at * width : end * width]
-                at = end + 1
-        for w in new if not plain else [w for w in new if self.MARK.encode() in w]:
-            self.cache[w] = self.ids([w.decode()]).tobytes()
+        self.raw = [x.tobytes() for x in np.arange(self.library.get_vocab_size(True), dtype=self.kind)]
+        self.model = self.library.model
+        self.letters = {b: c for c, b in byte_letters().items()}
+        spec = json.loads(self.library.to_str())
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        pattern = steps[0].get("pattern", {}).get("Regex", "") if steps else ""
+        self.cuts = r"[\p{L}]+" in pattern.split("|") and {"type": "Lowercase"} in (spec["normalizer"] or {}).get("normalizers", []) and steps[-1]["type"] == "ByteLevel"
+        self.most_words, self.most_parts = words, parts
+        self.words, self.parts = Recent(self.word), Recent(self.part)
+
+    def whole(self, text: str) -> bytes:
+        return b"".join([self.raw[i] for i in self.library.encode(text, add_special_tokens=False).ids])
+
+    def part(self, text: str) -> bytes:
+        if not text.isascii():  # byte-level vocabularies spell bytes by letters, those of ASCII by themselves
+            text = text.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(text)])
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        m = self.SIMPLE.fullmatch(text) if self.cuts else None
+        if m is None:
+            return self.whole(text)
+        letters, marks = m.groups()
+        ids = self.parts[letters.lower()]
+        return ids + self.parts[marks] if marks else ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids in self.kind, in bytes."""
-        words = [(t or "").encode().split() for t in texts]
-        met = set().union(*words)
-        new = met.difference(self.cache)
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
-            new = met
-        if new:
-            self.learn(list(new))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        out = []
+        for t in texts:
+            self.words, self.parts = self.words.aged(self.most_words), self.parts.aged(self.most_parts)
+            out.append(b"".join(map(self.words.__getitem__, (t or "").encode().split())))
+        return out
+
+
+@cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for all tasks that a Python worker runs; its memory is bounded by its caches."""
+    return WordTokenizer(path)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids: each document's tokens and the end id, in the file format's integers."""
 
     def make():
-        t = WordTokenizer(path)
+        t = tokenizer_of(path)
         end = np.array([end_id], t.kind).tobytes()
 
         def run(col):
