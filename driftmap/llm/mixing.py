@@ -14,6 +14,7 @@ gives an empty result; other columns pass through; sources without a given weigh
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,8 +71,9 @@ def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, d
     slots = max(slots, 16 * len(counts))
     share = rounded({keys[k]: weights[k] for k in counts}, slots)
     table = spark.createDataFrame(round_schedule(share), "__key string, __i long, release long, deadline long, slot long")
-    # Places within a source: rows are dealt by hash to enough parts that none is large, numbered in each part, and moved by the parts' running sums.
-    parts = max(1, max(counts.values()) // 2_000)
+    # Places within a source: rows are dealt by hash to parts, numbered in each, and moved by the parts' running sums. With
+    # the square root of the count as their number, neither a part nor the list of a source's parts is large.
+    parts = math.isqrt(max(counts.values()))
     units = units.withColumn("__key", F.coalesce(F.concat(F.lit("="), "__source"), F.lit(""))).withColumn("__part", F.pmod("__order", F.lit(parts)))
     before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sums = written(units.groupBy("__key", "__part").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count"), "sums")
