@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, media, mixing, neardup, quality, records, substring, urls, warc
+from . import bpe, linededup, media, mixing, neardup, oracles, quality, records, substring, urls, warc
 
 
 def tokenizer(name: str) -> str:
@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     df = quality.judged(docs.withColumn("text", F.coalesce("text", F.lit(""))))
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", "host_rate")
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", F.round("host_rate", 6).alias("host_rate"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judged(table(spark, sf_dir, "pages"), RULES)
+    return urls.judged(table(spark, sf_dir, "pages"), RULES).withColumn("purity", F.round("purity", 6))
 
 
 def op3_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_warc_packages, op4_line_dedup, op5_bpe, op6_token_records, op7_mixing, op8_media_columns, op9_substring_dedup, op10_near_dedup)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.QUALITY,
+    "op2_url_filter": oracles.url_sql(RULES),
+    "op3_warc_packages": oracles.ARCHIVES,
+    "op4_line_dedup": oracles.LINES,
+    "op9_substring_dedup": oracles.REPEATS,
+    "op10_near_dedup": oracles.NEAR,
+}
