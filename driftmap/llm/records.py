@@ -24,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bpe import byte_letters
-from .common import add_columns, shared_dir, written
+from .common import shared_dir, written
 from .storage import opened, store
 
 #: Fixed values of the record format: the reversed Castagnoli polynomial and the mask's constant.
@@ -155,12 +154,12 @@ class WordTokenizer:
         ids = self.parts[letters.lower()]
         return ids + self.parts[marks] if marks else ids
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids in self.kind, in bytes."""
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text (in UTF-8) in self.kind, in bytes."""
         out = []
         for t in texts:
             self.words, self.parts = self.words.aged(self.most_words), self.parts.aged(self.most_parts)
-            out.append(b"".join(map(self.words.__getitem__, (t or "").encode().split())))
+            out.append(b"".join(map(self.words.__getitem__, (t or b"").split())))
         return out
 
 
@@ -173,20 +172,17 @@ def tokenizer_of(path: str) -> WordTokenizer:
 def tokenized(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids: each document's tokens and the end id, in the file format's integers."""
 
-    def make():
+    def run(batches):
         t = tokenizer_of(path)
         end = np.array([end_id], t.kind).tobytes()
+        for b in batches:
+            text, out = b.column(1).cast(pa.binary()), []
+            for k in range(0, len(text), 64):
+                out += [x + end for x in t.encode(text.slice(k, 64).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
-        def run(col):
-            out = []
-            for k in range(0, len(col), 256):
-                out += [x + end for x in t.encode(col.slice(k, 256).to_pylist())]
-            return (out,)
-
-        return run
-
-    df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return add_columns(df, ["text"], [("ids", T.BinaryType())], make).drop("text")
+    df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return df.mapInArrow(run, "doc_id long, ids binary")
 
 
 def write_records(df: DataFrame, folder: str, width: int, file_bytes: int = 32 << 20) -> DataFrame:
@@ -272,7 +268,11 @@ def stored(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_id",
     tokens = written(tokenized(docs, path, end_id, doc_id, text), "tokens")
     df = read_records(write_records(tokens, shared_dir(docs.sparkSession, "records"), width), width)
 
-    def make():
-        return lambda col: zip(*[(len(x) // width, y := np.frombuffer(x, f"<u{width}").astype("<u4").tobytes(), zlib.crc32(y)) for x in col.to_pylist()], strict=True) if len(col) else [[]] * 3
+    def run(batches):
+        for b in batches:
+            ids = [np.frombuffer(x, f"<u{width}").astype("<u4") for x in b.column(2).to_pylist()]
+            raw = [x.tobytes() for x in ids]
+            new = [pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary()), pa.array(map(zlib.crc32, raw), pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *new], names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
-    return add_columns(df.withColumnRenamed("ids", "raw"), ["raw"], [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("ids_crc32", T.LongType())], make).drop("raw")
+    return df.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
