@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,18 @@ def tidied(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plans run inside hand Python at most so many rows at once: for long texts, as both sides hold the batches in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (a written table) marked for broadcast if it has at most ``rows`` rows, else as it is: the join then shuffles and AQE splits skewed keys."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import shared_dir, written
+from .common import arrow_rows, shared_dir, written
 from .storage import opened, store
 
 #: Fixed values of the record format: the reversed Castagnoli polynomial and the mask's constant.
@@ -265,7 +265,8 @@ def stored(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_id",
     from tokenizers import Tokenizer
 
     width = 4 if Tokenizer.from_file(path).get_vocab_size(True) > 65_536 else 2
-    tokens = written(tokenized(docs, path, end_id, doc_id, text), "tokens")
+    with arrow_rows(docs.sparkSession, 1_000):
+        tokens = written(tokenized(docs, path, end_id, doc_id, text), "tokens")
     df = read_records(write_records(tokens, shared_dir(docs.sparkSession, "records"), width), width)
 
     def run(batches):
