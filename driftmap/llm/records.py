@@ -202,7 +202,8 @@ def write_records(df: DataFrame, folder: str, width: int, file_bytes: int = 32 <
             entries = np.zeros(len(held), INDEX)
             lengths = [len(x) for _, x in held]
             heads = [struct.pack("<Q", k) for k in lengths]
-            crcs = masked_crcs([*heads, *[x for _, x in held]]).astype("<u4")
+            bodies = [x for _, x in held]
+            crcs = np.concatenate([masked_crcs(x[k : k + 256]) for x in (heads, bodies) for k in range(0, len(held), 256)]).astype("<u4")
             entries["has_id"] = [i is not None for i, _ in held]
             entries["doc_id"] = [i or 0 for i, _ in held]
             entries["length"] = lengths
@@ -234,7 +235,7 @@ def write_records(df: DataFrame, folder: str, width: int, file_bytes: int = 32 <
 
 
 def read_records(manifest: DataFrame, width: int) -> DataFrame:
-    """doc_id, start and ids (bytes) of every record, read through the index, with both checksums compared."""
+    """doc_id, start, n_tokens, ids (unsigned 32-bit) and their crc32 of every record, read through the index, with both checksums compared."""
 
     def run(batches):
         for b in batches:
@@ -255,25 +256,19 @@ def read_records(manifest: DataFrame, width: int) -> DataFrame:
                         if got != b"".join(s[0] for s in sums) + b"".join(s[1] for s in sums):
                             raise ValueError(f"checksum mismatch in {data}")
                         ids = [i if has else None for i, has in zip(e["doc_id"].tolist(), e["has_id"].tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(e["first"].astype(np.int64) + start), pa.array(bodies, pa.binary())], names=["doc_id", "start", "ids"])
+                        wide = [np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in bodies]
+                        columns = [(ids, pa.int64()), (e["first"].astype(np.int64) + start, pa.int64()), ([len(x) // 4 for x in wide], pa.int64()), (wide, pa.binary()), ([zlib.crc32(x) for x in wide], pa.int64())]
+                        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in columns], names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
-    return manifest.mapInArrow(run, "doc_id long, start long, ids binary")
+    return manifest.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
 def stored(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes docs, writes the files and reads them back: doc_id, start, n_tokens, ids (unsigned 32-bit)."""
+    """Encodes docs, writes the files and reads them back: doc_id, start, n_tokens, ids (unsigned 32-bit), ids_crc32."""
     from tokenizers import Tokenizer
 
     width = 4 if Tokenizer.from_file(path).get_vocab_size(True) > 65_536 else 2
     with arrow_rows(docs.sparkSession, 1_000):
         tokens = written(tokenized(docs, path, end_id, doc_id, text), "tokens")
-    df = read_records(write_records(tokens, shared_dir(docs.sparkSession, "records"), width), width)
-
-    def run(batches):
-        for b in batches:
-            ids = [np.frombuffer(x, f"<u{width}").astype("<u4") for x in b.column(2).to_pylist()]
-            raw = [x.tobytes() for x in ids]
-            new = [pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary()), pa.array(map(zlib.crc32, raw), pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *new], names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
-
-    return df.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+        manifest = write_records(tokens, shared_dir(docs.sparkSession, "records"), width)
+    return read_records(manifest, width)
