@@ -119,7 +119,7 @@ class WordTokenizer:
     #: Latin letters whose lower case and composition are themselves single letters, then ASCII punctuation.
     SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 
-    def __init__(self, path: str, words: int = 150_000, parts: int = 300_000):
+    def __init__(self, path: str, words: int = 500_000, parts: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
