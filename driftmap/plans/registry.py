@@ -101,6 +101,13 @@ def distance_matrix_affinities(spark, sf):
     return scaled(affinity.pairwise_affinities(d, PERPLEXITY), 1e6, "p")
 
 
+def distance_matrix_affinities_all(spark, sf):
+    """The distance table of all points, with self edges, taken as it is."""
+    v = vectors(spark, sf)
+    d = v.crossJoin(v.toDF("j", "z")).select("i", "j", metric("sqeuclidean")(F.col("x"), F.col("z")).alias("d"))
+    return scaled(affinity.pairwise_affinities(d, PERPLEXITY), 1e6, "p")
+
+
 def init_working_set(spark, sf):
     return scaled(layout.init_working_set(vectors(spark, sf), 3), 1e12, "y0", "y1")
 
@@ -285,4 +292,4 @@ ORACLES = {
     "one_iteration": iterations_sql(1),
     "three_iterations": iterations_sql(3),
 }
-QUERIES = {f.__name__: f for f in (coo_entries, coo_to_vector, _metric("sqeuclidean"), _metric("euclidean"), _metric("cosine"), knn_bruteforce, knn_blocked, knn_zorder, affinity_beta, pairwise_affinities, joint_distribution, joint_rows, distance_matrix_affinities, init_working_set, embedding_bounds, cell_pyramid, repulsion_exact, repulsion_barnes_hut, repulsion_barnes_hut_zero, sum_q, attraction, gradient_exact, loss, update_embedding, center_embedding, center_input, one_iteration, three_iterations, embed_map)}
+QUERIES = {f.__name__: f for f in (coo_entries, coo_to_vector, _metric("sqeuclidean"), _metric("euclidean"), _metric("cosine"), knn_bruteforce, knn_blocked, knn_zorder, affinity_beta, pairwise_affinities, joint_distribution, joint_rows, distance_matrix_affinities, distance_matrix_affinities_all, init_working_set, embedding_bounds, cell_pyramid, repulsion_exact, repulsion_barnes_hut, repulsion_barnes_hut_zero, sum_q, attraction, gradient_exact, loss, update_embedding, center_embedding, center_input, one_iteration, three_iterations, embed_map)}
