@@ -4,8 +4,10 @@ A rule such as ``example.com/en/`` fits its host and all subdomains where the pa
 rule wins. For the other urls each host has a tree of path segments. Segments' numbers and long hex strings become
 ``#``; level by level, branches of a node whose labelled rates of blocking do not differ significantly from their
 siblings' (two-proportion z test) are merged into ``*``; branches without labels say nothing of the labelled ones and
-are merged among themselves, into ``?``. A template is rejected if its purity, (blocked + s * g) /
-(labelled + s) with the corpus rate g, reaches a limit; a template with no labels has purity g.
+are merged among themselves, into ``?``. Where the segment is variable (at least FAN branches, and on average no more pages
+a branch than there are branches; labels play no part), a new branch is one more value of it: if two or more labelled
+branches are merged there, those without labels join their ``*`` and have its purity. A template is rejected if its purity, (blocked + s * g) /
+(labelled + s) with the corpus rate g, reaches a limit; a template with no labels has purity g and is never rejected.
 
 Edge cases: null urls and urls without :// have empty host and path and no rule; a null label is no evidence; repeated
 rows each count and each get a verdict; an empty table gives an empty result; only id and url are carried along.
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import small, written
 
+#: Branches of a node from which its segment can count as variable.
+FAN = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,17 +52,21 @@ def generalised(path: Column, depth: int) -> Column:
 
 
 def merged_level(tree: DataFrame, level: int, z_limit: float) -> DataFrame:
-    """tree (host, raw, segments, n, labelled, blocked) with similar branches at this level merged into *."""
+    """tree (host, raw, segments, pages, labelled, blocked) with similar branches at this level merged into *."""
     tree = tree.withColumn("__up", F.concat_ws("/", F.slice("segments", 1, level))).withColumn("__seg", F.get("segments", F.lit(level)))
-    nodes = tree.where(F.col("__seg").isNotNull()).groupBy("host", "__up", "__seg").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    nodes = tree.where(F.col("__seg").isNotNull()).groupBy("host", "__up", "__seg").agg(F.sum("pages").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     nodes = written(nodes, "nodes")
-    parents = nodes.groupBy("host", "__up").agg(F.count("*").alias("fan"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
+    parents = nodes.groupBy("host", "__up").agg(F.count("*").alias("fan"), F.sum("n").alias("all_n"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
     other = F.col("all_l") - F.col("l")
     pooled = F.col("all_b") / F.col("all_l")
     spread = pooled * (1 - pooled) * (1 / F.col("l") + 1 / other)
     differ = F.col("b") / F.col("l") - (F.col("all_b") - F.col("b")) / other
     alike = F.when((F.col("l") == 0) | (other == 0) | (F.col("all_b") == 0) | (F.col("all_b") == F.col("all_l")), F.lit(True)).otherwise(differ * differ < z_limit * z_limit * spread)
-    merge = nodes.join(written(parents, "parents"), ["host", "__up"]).where((F.col("fan") > 1) & alike).select("host", "__up", "__seg", F.when(F.col("l") == 0, "?").otherwise("*").alias("__merge"))
+    merging = written(nodes.join(written(parents, "parents"), ["host", "__up"]).where((F.col("fan") > 1) & alike), "alike")
+    variable = (F.col("fan") >= FAN) & (F.col("all_n") <= F.col("fan") * F.col("fan"))
+    shared = merging.where(variable & (F.col("l") > 0)).groupBy("host", "__up").count().where("count > 1").select("host", "__up", F.lit(True).alias("__shared"))
+    own = merging.join(small(written(shared, "shared")), ["host", "__up"], "left")
+    merge = own.select("host", "__up", "__seg", F.when((F.col("l") == 0) & F.col("__shared").isNull(), "?").otherwise("*").alias("__merge"))
     tree = tree.join(small(written(merge, "merge")), ["host", "__up", "__seg"], "left")
     star = F.transform("segments", lambda x, k: F.when(k == level, F.col("__merge")).otherwise(x))
     return tree.withColumn("segments", F.when(F.col("__merge").isNotNull(), star).otherwise(F.col("segments"))).drop("__up", "__seg", "__merge")
@@ -75,15 +83,15 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_
     df = df.withColumn("rule", rule).withColumn("__action", action)
     df = df.withColumn("__label", F.coalesce("__label", F.col("__action") == "block"))
     df = written(df.withColumn("__raw", F.concat_ws("/", generalised(F.col("path"), depth))), "urls")
-    tree = df.groupBy("host", "__raw").agg(F.count("__label").alias("labelled"), F.count(F.when(F.col("__label"), 1)).alias("blocked"))
+    tree = df.groupBy("host", "__raw").agg(F.count("*").alias("pages"), F.count("__label").alias("labelled"), F.count(F.when(F.col("__label"), 1)).alias("blocked"))
     tree = written(tree.withColumn("segments", F.split("__raw", "/")), "tree")
     labelled, blocked = tree.agg(F.sum("labelled"), F.sum("blocked")).first()
     rate = (blocked or 0) / labelled if labelled else 0.0
     for level in range(depth):
         tree = written(merged_level(tree, level, z_limit), "tree")
     tree = tree.withColumn("template", F.concat(F.lit("/"), F.concat_ws("/", "segments")))
-    purity = tree.groupBy("host", "template").agg(((F.sum("blocked") + smoothing * rate) / (F.sum("labelled") + smoothing)).alias("purity"))
+    purity = tree.groupBy("host", "template").agg(((F.sum("blocked") + smoothing * rate) / (F.sum("labelled") + smoothing)).alias("purity"), (F.sum("labelled") > 0).alias("__known"))
     known = written(tree.select("host", "__raw", "template").join(written(purity, "purity"), ["host", "template"]), "templates")
     df = df.join(small(known), ["host", "__raw"], "left")
-    verdict = F.coalesce("__action", F.when(F.col("purity") >= limit, "block").otherwise("allow"))
+    verdict = F.coalesce("__action", F.when(F.col("__known") & (F.col("purity") >= limit), "block").otherwise("allow"))
     return df.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
