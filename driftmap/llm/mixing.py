@@ -3,20 +3,26 @@
 Every source's documents, in a seeded random order, are cut into blocks. A source that shall have the share p of the mix
 owes its block i between the release time floor(i / p) and the deadline ceil((i + 1) / p), counted in slots of one block.
 Earliest deadline first among the released blocks gives every source, at every slot, less than one block more or less
-than its share. Weights are rounded to whole slots of a round (largest remainders), so one round's schedule, made once,
-serves all rounds. Where a source has run out, its slots stay empty and the others keep their proportions: no document
-is dropped or repeated.
+than its share. Shares are exact fractions of the weights over the whole schedule; only if a number of slots is given,
+weights are rounded to whole slots of a round of so many. The schedule is made in one pass in one task, block by block,
+with one heap entry a source. Where a source has run out, its slots stay empty and the others keep their proportions: no
+document is dropped or repeated.
 
 Edge cases: a null source is a source of its own; rows that agree in id, source and text share one place; an empty table
-gives an empty result; other columns pass through; sources without a given weight, and weights of zero or less, raise.
+gives an empty result; other columns pass through; sources without a given weight, weights of zero or less, and weights
+so small that their last deadline is no 64-bit number, raise.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small, written
@@ -34,28 +40,51 @@ def rounded(weights: dict[str, float], slots: int) -> dict[str, int]:
     return {k: n + 1 for k, n in own.items()}
 
 
-def round_schedule(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, index of its block in the round, release, deadline, slot) for each slot of one round."""
-    slots = sum(share.values())
-    waiting = [(0, k, 0) for k in sorted(share, key=str)]
-    heapq.heapify(waiting)
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as integers in exactly the same proportions."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    return {k: int(x * unit) for k, x in exact.items()}
+
+
+def schedule(share: dict[str, int], counts: dict[str, int], block: int) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, its block, release, deadline, slot, rows in earlier slots) of all blocks, slot after slot."""
+    total = sum(share.values())
+    waiting = [(0, k, 0) for k in sorted(share)]
     ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(slots):
+    slot = at = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])  # the slots of sources that have run out
         while waiting and waiting[0][0] <= slot:
             release, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * slots // share[k]), k, i, release))
+            heapq.heappush(ready, (-(-(i + 1) * total // share[k]), k, i, release))
         deadline, k, i, release = heapq.heappop(ready)
-        out.append((k, i, release, deadline, slot))
-        if i + 1 < share[k]:
-            heapq.heappush(waiting, ((i + 1) * slots // share[k], k, i + 1))
-    return out
+        yield k, i, release, deadline, slot, at
+        at += min(block, counts[k] - i * block)
+        slot += 1
+        if (i + 1) * block < counts[k]:
+            heapq.heappush(waiting, ((i + 1) * total // share[k], k, i + 1))
+
+
+def schedule_table(spark: SparkSession, share: dict[str, int], counts: dict[str, int], block: int) -> DataFrame:
+    """The schedule as a written table, made batch by batch."""
+    names = ["__key", "source_block", "release", "deadline", "slot", "__at"]
+
+    def run(batches):
+        for b in batches:
+            blocks = schedule(share, counts, block) if b.num_rows else iter(())
+            while rows := list(itertools.islice(blocks, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
+
+    return written(spark.range(0, 1, 1, 1).mapInArrow(run, "__key string, source_block long, release long, deadline long, slot long, __at long"), "schedule")
 
 
-def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", block: int = 64, slots: int = 2048, power: float = 0.5, seed: int = 17) -> DataFrame:
+def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", block: int = 64, slots: int | None = None, power: float = 0.5, seed: int = 17) -> DataFrame:
     """One row per distinct (id, source, text): __id, __source, __hash and source_block, release, deadline, slot, position.
 
     weights: target weight per source (a configuration, so small enough for the driver); by default the document count to the given power.
+    slots: if given, weights are rounded to whole slots of a round of so many (16 a source at least).
     """
     spark = docs.sparkSession
     units = docs.select(F.col(doc_id).alias("__id"), F.col(source).alias("__source"), F.xxhash64(F.lit(seed), F.col(text)).alias("__hash")).distinct()
@@ -68,9 +97,14 @@ def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, d
     if any(weights.get(k, 0) <= 0 for k in counts):
         raise ValueError("every source needs a target weight above zero")
     keys = {k: f"={k}" if k is not None else "" for k in counts}
-    slots = max(slots, 16 * len(counts))
-    share = rounded({keys[k]: weights[k] for k in counts}, slots)
-    table = spark.createDataFrame(round_schedule(share), "__key string, __i long, release long, deadline long, slot long")
+    own = {keys[k]: n for k, n in counts.items()}
+    share = whole({keys[k]: weights[k] for k in counts})
+    if slots:
+        share = rounded({keys[k]: weights[k] for k in counts}, max(slots, 16 * len(counts)))
+    total = sum(share.values())
+    if any(-(-n // block) * total // share[k] >= 2**62 for k, n in own.items()):
+        raise ValueError("a source's weight is too small for its number of documents")
+    table = schedule_table(spark, share, own, block)
     # Places within a source: rows are dealt by hash to parts, numbered in each, and moved by the parts' running sums. With
     # the square root of the count as their number, neither a part nor the list of a source's parts is large.
     parts = math.isqrt(max(counts.values()))
@@ -80,21 +114,9 @@ def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, d
     inside = Window.partitionBy("__key", "__part").orderBy("__order", "__id", "__hash")
     ranked = units.withColumn("__rank", F.row_number().over(inside) - 1).join(small(sums), ["__key", "__part"])
     rank = F.col("__rank") + F.col("__before")
-    share_of = spark.createDataFrame([(k, n) for k, n in share.items()], "__key string, __n long")
-    ranked = ranked.join(F.broadcast(share_of), "__key").withColumn("source_block", F.floor(rank / block)).withColumn("__inside", rank % block)
-    ranked = ranked.withColumn("__round", F.floor(F.col("source_block") / F.col("__n"))).withColumn("__i", F.col("source_block") % F.col("__n"))
-    ranked = ranked.join(F.broadcast(table), ["__key", "__i"])
-    for c in ("release", "deadline", "slot"):
-        ranked = ranked.withColumn(c, F.col(c) + F.col("__round") * slots)
-    ranked = written(ranked.drop("__order", "__part", "__rank", "__before", "__n", "__key", "__i"), "ranked")
-    # Positions: the rows of earlier rounds, of earlier slots in the round, then the place in the block.
-    per_slot = written(ranked.groupBy("__round", "slot").count(), "slots")
-    rounds = per_slot.groupBy("__round").agg(F.sum("count").alias("__rows"))
-    rounds = rounds.withColumn("__start", F.coalesce(F.sum("__rows").over(Window.orderBy("__round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    earlier = Window.partitionBy("__round").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_slot.withColumn("__slot_start", F.coalesce(F.sum("count").over(earlier), F.lit(0))).join(rounds.drop("__rows"), "__round")
-    starts = written(starts.select("slot", (F.col("__start") + F.col("__slot_start")).alias("__at")), "starts")
-    return ranked.join(small(starts), "slot").withColumn("position", F.col("__at") + F.col("__inside")).select("__id", "__source", "__hash", *ADDED)
+    ranked = ranked.withColumn("source_block", F.floor(rank / block)).withColumn("__inside", rank % block)
+    placed = ranked.join(small(table), ["__key", "source_block"]).withColumn("position", F.col("__at") + F.col("__inside"))
+    return placed.select("__id", "__source", "__hash", *ADDED)
 
 
 def mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17, **how) -> DataFrame:

@@ -1,6 +1,10 @@
 """Where the operators once did less than the whole job."""
 
-from driftmap.llm import urls
+from collections import Counter
+
+import pytest
+
+from driftmap.llm import mixing, urls
 
 
 def verdicts(spark, rows):
@@ -29,3 +33,20 @@ def test_sections_do_not_inherit(spark):
 def test_templates_without_labels_are_not_rejected(spark):
     rows = [(k, f"http://h.org/spam/{k}", True) for k in range(50)] + [(99, "http://clean.org/page", None)]
     assert verdicts(spark, rows)[99][1] == "allow"
+
+
+@pytest.mark.parametrize("weights", [None, {f"s{k}": 0.5 if k == 0 else 1e-5 if k == 1 else 0.5 / 18 for k in range(20)}])
+def test_mix_keeps_to_the_exact_weights(spark, weights):
+    """Less than one block from the target share at every slot, for as long as a source has blocks."""
+    rows = [(k, "s0" if k % 3 == 0 else f"s{1 + k % 19}", f"t{k}") for k in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.scheduled(docs, weights, block=1).select("__source", "slot", "source_block", "position").collect()
+    counts = Counter(s for _, s, _ in rows)
+    w = weights or {s: n**0.5 for s, n in counts.items()}
+    total, done = sum(w[s] for s in counts), Counter()
+    assert sorted(r.position for r in got) == list(range(20_000)) and len({r.slot for r in got}) == 20_000
+    for n, r in enumerate(sorted(got, key=lambda r: r.slot)):
+        assert r.position == n and r.source_block == done[r[0]]
+        done[r[0]] += 1
+        if done[r[0]] < counts[r[0]]:
+            assert abs(done[r[0]] - (r.slot + 1) * w[r[0]] / total) < 1 + 1e-6 and abs(done[r[0]] - 1 - r.slot * w[r[0]] / total) < 1 + 1e-6
