@@ -33,13 +33,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix (weights: the square roots of the sources' counts)."""
-    return mixing.mixed_order(docs)
+    """All documents and their position in the mix, in its order (weights: the square roots of the sources' counts)."""
+    return mixing.mixed_order(docs, place="position")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the document's tokens, in the order of the mix; the text is what decoding them gives."""
-    return bpe.encoded(docs.select("doc_id", "lang", "source", "text"), tokenizer("byte_bpe_50k.json")).drop("text")
+    """doc_id, source, position and the document's tokens, sorted by position; the text is what decoding them gives."""
+    docs = docs.orderBy("position", "doc_id")  # files are not read in the order in which they were written
+    return bpe.encoded(docs.select("doc_id", "lang", "source", "position", "text"), tokenizer("byte_bpe_50k.json")).drop("text")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mix), ("BPE encoding", encode)]

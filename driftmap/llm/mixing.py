@@ -119,12 +119,15 @@ def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, d
     return placed.select("__id", "__source", "__hash", *ADDED)
 
 
-def mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17, **how) -> DataFrame:
-    """docs in the order of the mix: partition after partition, row after row, so files written from it hold the mix."""
+def mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17, place: str | None = None, **how) -> DataFrame:
+    """docs in the order of the mix: partition after partition, row after row, so files written from it hold the mix.
+
+    place: a column to add with the row's position, as readers of the files may change their order.
+    """
     plan = written(scheduled(docs, weights, doc_id, source, text, seed=seed, **how), "plan")
     n = max(1, docs.rdd.getNumPartitions())
     most = plan.agg(F.max("position")).first()[0] or 0
     a, h = docs, F.xxhash64(F.lit(seed), F.col(text))
     df = a.withColumn("__h", h).join(plan.select("__id", "__source", "__hash", "position").hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__h") == F.col("__hash")))
     df = df.withColumn("__p", F.floor(F.col("position") * n / (most + 1)).cast("int"))
-    return df.repartitionById(n, F.col("__p")).sortWithinPartitions("position", doc_id).select(*[F.col(c) for c in docs.columns])
+    return df.repartitionById(n, F.col("__p")).sortWithinPartitions("position", doc_id).select(*[F.col(c) for c in docs.columns], *([F.col("position").alias(place)] if place else []))
