@@ -1,10 +1,10 @@
-"""MinHash near-dedup with an LSH forest.
+"""MinHash near-dedup with bands of fixed depth and an exact join, in place of an LSH forest.
 
 A text is the set of its distinct shingles of ``words`` words, A-Z lower-cased. Equal sets are one class. Each class has
-a signature of TREES * DEPTH minima; a tree orders the classes by its own minima. Classes that share a tree's first
-DEPTH minima form a region: each is compared with the region's first class, which shares the longest prefix known there.
-In a crowded region the order goes on with the next tree's minima, and classes are compared within these deeper regions
-too. Pairs that pass the bounds on set sizes and signatures are confirmed on the full sets. Components are grown from
+a signature of TREES * DEPTH minima; there are no sorted signature orders and no neighbours by longest common prefix. Classes that share a tree's first
+DEPTH minima form a region: each is compared with the region's class of the smallest id.
+In a crowded region (over 64 classes) the next tree's minima are added, and classes are compared within these deeper regions,
+of that one fixed depth, too. Pairs that pass the bounds on set sizes and signatures are confirmed on the full sets. Components are grown from
 confirmed links. Classes of regions that hold several components then go through an exact join on the rare shingles of
 their sets, which leaves no similar pair of them out, without comparing all classes of a region with each other. Two classes of similarity 0.8 share none of the 40 regions with
 probability (1 - 0.8**5)**40, about 1e-7.
