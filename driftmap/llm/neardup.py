@@ -1,13 +1,19 @@
-"""MinHash near-dedup with bands of fixed depth and an exact join, in place of an LSH forest.
+"""MinHash near-dedup by an LSH forest, with an exact join where the forest leaves a region in pieces.
 
-A text is the set of its distinct shingles of ``words`` words, A-Z lower-cased. Equal sets are one class. Each class has
-a signature of TREES * DEPTH minima; there are no sorted signature orders and no neighbours by longest common prefix. Classes that share a tree's first
-DEPTH minima form a region: each is compared with the region's class of the smallest id.
-In a crowded region (over 64 classes) the next tree's minima are added, and classes are compared within these deeper regions,
-of that one fixed depth, too. Pairs that pass the bounds on set sizes and signatures are confirmed on the full sets. Components are grown from
-confirmed links. Classes of regions that hold several components then go through an exact join on the rare shingles of
-their sets, which leaves no similar pair of them out, without comparing all classes of a region with each other. Two classes of similarity 0.8 share none of the 40 regions with
-probability (1 - 0.8**5)**40, about 1e-7.
+A text is the set of its distinct shingles of ``words`` words, A-Z lower-cased. Equal sets are one class. A class has a
+signature of TREES * BASE minima, of which one byte each is kept. Every tree is a sorted order of all classes by LEVELS
+minima, beginning with the tree's own. Neighbours in an order have the longest common prefixes; classes that share BASE minima
+or more form a region. The depth adapts to the region: where more than CROWDED classes share a prefix, neighbours must
+share a longer one. Each class takes its deepest neighbour and one neighbour at random from all orders; pairs that pass the
+bounds on set sizes and signatures are confirmed on the full sets and grown into components. Of all other neighbours, one
+pair for every two components that neighbour each other follows in a second round.
+
+Regions that still hold several components then go through an exact join on the rare shingles of their sets, which leaves
+no similar pair of them out and enumerates neither all pairs of a region nor those of a frequent shingle. Two classes of similarity 0.8 share
+no region with probability (1 - 0.8**5)**40, about 1e-7; that chance is the only inexactness.
+
+Scale: the orders are dealt by range with the id as the last key, so a group of a third of all classes is spread evenly; a task
+holds 24 bytes a row of its part of an order. Two rows a partition are collected to compare neighbours across partitions.
 
 Edge cases: null or empty text has an empty set and is linked with nothing; a text of fewer words than a shingle is one
 shingle; rows that share an id are one document with all the rows' links; null ids are linked with nothing and have a
@@ -25,10 +31,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, add_columns, mixed, small, tidied, written
+from .common import WordHashes, add_columns, mixed, released, small, tidied, written
 
-TREES, DEPTH, CROWDED = 40, 5, 64
-HASHES = TREES * DEPTH
+TREES, BASE, LEVELS, CROWDED = 40, 5, 8, 64
+HASHES = TREES * BASE
 
 
 @cache
@@ -56,14 +62,14 @@ class Shingles:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minima of a set under each permutation."""
+    """One byte of the minimum of a set under each permutation: equal minima have equal bytes, others by chance of 1 in 256."""
     a, b = permutations()
     x = (shingles >> np.uint64(32)).astype(np.uint32)[None, :]
     out = np.empty(HASHES, np.uint32)
     step = max(1, 200_000 // x.shape[1])
     for k in range(0, HASHES, step):
         out[k : k + step] = ((x ^ b[k : k + step]) * a[k : k + step]).min(1)
-    return out
+    return out.astype(np.uint8)
 
 
 def sets(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
@@ -85,10 +91,87 @@ def sets(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     return add_columns(df, ["text"], [("n", T.LongType()), ("s1", T.LongType()), ("s2", T.LongType()), ("sig", T.BinaryType())], make).drop("text")
 
 
+def orders(classes: DataFrame) -> DataFrame:
+    """(tree, key, id) of each class in each tree: the key is LEVELS bytes of the signature from the tree's first minimum on, as a number of the same order."""
+    places = (np.arange(TREES)[:, None] * BASE + np.arange(LEVELS)) % HASHES
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), HASHES)
+                key = np.ascontiguousarray(sig[:, places]).view(">i8").astype(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(b))), pa.array(key), pa.array(np.repeat(b.column(0).to_numpy(), TREES))], names=["tree", "key", "id"])
+
+    return classes.select("id", "sig").mapInArrow(run, "tree int, key long, id long")
+
+
+def common_prefix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many leading bytes two arrays of keys share."""
+    d = np.asarray(x ^ y).view(np.uint64)
+    return sum((d < np.uint64(1 << 8 * k)).astype(np.int8) for k in range(LEVELS))
+
+
+def region_of(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A hash of the tree and the first BASE minima."""
+    return mixed(((key >> np.int64(8 * (LEVELS - BASE))) * np.int64(TREES) + tree).view(np.uint64)).view(np.int64)
+
+
+def needed_depth(near: np.ndarray) -> np.ndarray:
+    """Per gap between rows of an order, the prefix that neighbours must share: one more than any that over CROWDED rows around it share."""
+    depth = np.full(len(near), BASE, np.int8)
+    if len(near) >= CROWDED:
+        run = np.lib.stride_tricks.sliding_window_view(near, CROWDED).min(1)  # what CROWDED + 1 rows share
+        run = np.concatenate((np.zeros(CROWDED - 1, np.int8), run, np.zeros(CROWDED - 1, np.int8)))
+        depth = np.clip(np.lib.stride_tricks.sliding_window_view(run, CROWDED).max(1) + 1, BASE, LEVELS)
+    return depth
+
+
+def forest_rows(classes: DataFrame) -> DataFrame:
+    """(region, id, prev, lcp) of all classes in regions of several: prev is the neighbour before it, null if their common prefix is too short.
+
+    A written table, with edge = 0; rows of edge 1 and 2 are the partitions' first and last ones.
+    """
+    schema = "edge int, part int, tree int, region long, id long, prev long, lcp int"
+
+    def rows(edge, part, tree, region, ids, prev, keep, lcp):
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, edge, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(tree), pa.array(region), pa.array(ids), pa.array(prev, mask=~keep), pa.array(lcp.astype(np.int32))], names=[x.split(" ")[0] for x in schema.split(", ")])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, own = TaskContext.get().partitionId(), [b for b in batches if len(b)]
+        if not own:
+            return
+        tree, key, ids = (np.concatenate([b.column(c).to_numpy() for b in own]) for c in range(3))
+        near = np.where(tree[1:] == tree[:-1], common_prefix(key[1:], key[:-1]), 0).astype(np.int8)
+        keep = np.concatenate(([False], (near >= needed_depth(near)) & (ids[1:] != ids[:-1])))
+        near = np.concatenate(([0], near, [0]))
+        inside = np.flatnonzero((near[:-1] >= BASE) | (near[1:] >= BASE))
+        prev = np.concatenate((ids[:1], ids[:-1]))
+        for k in range(0, len(inside), 100_000):
+            at = inside[k : k + 100_000]
+            yield rows(0, part, tree[at], region_of(tree[at], key[at]), ids[at], prev[at], keep[at], near[at])
+        for edge, at in ((1, slice(0, 1)), (2, slice(len(ids) - 1, len(ids)))):
+            yield rows(edge, part, tree[at], key[at], ids[at], ids[at], np.zeros(1, bool), near[at])
+
+    sorted_ = orders(classes).repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    found = written(sorted_.mapInArrow(run, schema), "forest")
+    ends = sorted(found.where("edge > 0").select("part", "edge", "tree", "region", "id").collect())
+    more = []
+    for (_, _, tree, x, a), (_, _, same, y, b) in zip(ends[1::2], ends[2::2], strict=False):
+        lcp = int(common_prefix(np.array([x]), np.array([y]))[0])
+        if tree == same and lcp >= BASE:
+            region = int(region_of(np.array([tree]), np.array([x]))[0])
+            more += [(region, a, None, 0), (region, b, a if a != b else None, lcp)]
+    out = found.where("edge = 0").select("region", "id", "prev", "lcp")
+    return out.union(classes.sparkSession.createDataFrame(more, out.schema)) if more else out
+
+
 def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that may reach the similarity, by set size and by signature bytes (6 standard deviations below)."""
-    own = classes.select("id", "n", "bits")
-    both = pairs.join(own.toDF("a", "n_a", "bits_a"), "a").join(own.toDF("b", "n_b", "bits_b"), "b")
+    """Pairs (a, b) of classes that may reach the similarity, by set size and by signature bytes (6.5 standard deviations below); the exact join does not rely on it."""
+    own = classes.select("id", "n", "sig")
+    both = pairs.join(own.toDF("a", "n_a", "sig_a"), "a").join(own.toDF("b", "n_b", "sig_b"), "b")
     both = both.where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
     p = percent / 100
     least = HASHES * p - 6.5 * (HASHES * p * (1 - p)) ** 0.5
@@ -99,7 +182,7 @@ def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), HASHES) for c in (2, 3))
                 yield b.select([0, 1]).filter(pa.array((x == y).sum(1) >= least))
 
-    return both.select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
@@ -122,14 +205,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words:
                 keep.append(100 * both >= percent * (len(s) + len(known) - both) and both > 0)
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return written(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    links = written(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    released(texts, need)
+    return links
 
 
 def prefix_pairs(open_: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     """All pairs (a, b) of the classes in open_ (id, component) of different components that can reach the similarity.
 
-    A set of n shingles can do without (100 - percent) % of them at most, so ordered from rare to frequent, two similar
-    sets share one of the first n - ceil(percent % of n) + 1, and after the first shared one enough must be left in both.
+    Shingles are ordered from rare to frequent. Two similar sets of n <= m shingles share at least percent / (100 + percent) of n + m,
+    so the first that they share lies among the first n - 2 * percent / (100 + percent) * n + 1 of the smaller set and the first
+    m - percent % of m + 1 of the larger one, and after it enough must be left in both. Where many sets that are just too different share
+    their frequent shingles, those come after the smaller set's bound and make no pairs.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     own = own.join(small(open_, 500_000), "id").select("id", "component", "text")
@@ -145,70 +232,104 @@ def prefix_pairs(open_: DataFrame, docs: DataFrame, doc_id: str, text: str, word
 
     rows = written(own.mapInArrow(run, "id long, component long, n long, s long").distinct(), "shingles")
     common = written(rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "common")
-    rows = rows.join(common, "s")
     by = Window.partitionBy("id", "n")
     # Shingles of one set only come first in the order and need no rows.
-    rows = rows.withColumn("p", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("df", "s")) - 1)
-    rows = written(rows.where(F.col("p") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100)).select("s", "id", "component", "n", "p"), "prefixes")
-    a, b = rows.toDF("s", "a", "c_a", "n_a", "p_a"), rows.toDF("s", "b", "c_b", "n_b", "p_b")
+    ranked = rows.join(common, "s").withColumn("p", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("df", "s")) - 1)
+    least = lambda n, share: F.floor((F.col(n) * share[0] + share[1] - 1) / share[1])
+    of_smaller, of_larger = (2 * percent, 100 + percent), (percent, 100)
+    prefixes = written(ranked.where(F.col("p") <= F.col("n") - least("n", of_larger)).select("s", "id", "component", "n", "p"), "prefixes")
+    released(rows, common)
+    a, b = prefixes.where(F.col("p") <= F.col("n") - least("n", of_smaller)).toDF("s", "a", "c_a", "n_a", "p_a"), prefixes.toDF("s", "b", "c_b", "n_b", "p_b")
     near = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
-    sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    return a.join(b, (a["s"] == b["s"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sizes & near).select("a", "b").distinct()
+    sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
+    met = a.join(b, (a["s"] == b["s"]) & (F.col("c_a") != F.col("c_b")) & sizes & near)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def settled(edge: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars already: every u has one v, and no v is a u."""
+    ends = edge.select(F.col("u").alias("k"), F.lit(1).alias("out"), F.lit(0).alias("met")).union(edge.select("v", F.lit(0), F.lit(1)))
+    return not ends.groupBy("k").agg(F.sum("out").alias("out"), F.max("met").alias("met")).where("out > 1 OR out = 1 AND met = 1").limit(1).count()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id that each id of the links (a, b) reaches, by alternating large and small stars."""
     edge = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = sign(edge)
     for _ in range(most_rounds):
+        if settled(edge):
+            break
         around = edge.union(edge.select("v", "u"))
         least = written(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edge = written(large.where("u <> v").distinct(), "large")
+        old, edge = edge, written(large.where("u <> v").distinct(), "large")
+        released(old, least)
         least = written(edge.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = edge.join(least, "u")
-        edge = written(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u <> v").distinct(), "small")
-        now = sign(edge)
-        if now == before:
-            break
-        before = now
+        old, edge = edge, written(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u <> v").distinct(), "small")
+        released(old, least)
     else:
         raise RuntimeError("the components did not settle")
     own = edge.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return written(own.union(edge.select("v", "v").distinct()), "components")
 
 
+def pairs_of(df: DataFrame, other: str) -> DataFrame:
+    """Distinct (a, b), a < b, of the columns id and other."""
+    return df.where(F.col("id") != F.col(other)).select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+
+
+def grown(found: DataFrame, classes: DataFrame, known: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, components, pairs tested on full sets) from the forest's neighbours alone; known: links (a, b) there are already."""
+    order = found.where("prev IS NOT NULL").select("id", "prev", "lcp")
+    either = order.union(order.select("prev", "id", "lcp"))
+    chance = lambda seed: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.least("id", "prev"), F.greatest("id", "prev")), 8)
+    deepest = F.shiftleft((LEVELS - F.col("lcp")).cast("long"), 56) + chance(1)  # chance() leaves the upper byte free
+    picks = either.groupBy("id").agg(F.min_by("prev", deepest).alias("x"), F.min_by("prev", chance(2)).alias("y"))
+    picks = written(picks, "picks")
+    first = written(alike(pairs_of(picks, "x").union(pairs_of(picks, "y")).distinct(), classes, percent), "near")
+    links = confirmed(first, docs, doc_id, text, words, percent).union(known)
+    tidied(classes.sparkSession)
+    groups = components(links)
+    # Of the other neighbours, one pair for every two components; what it misses is left to the exact join.
+    own = groups.select("id", "component")
+    at = order.join(own.toDF("id", "c"), "id", "left").join(own.toDF("prev", "d"), "prev", "left").withColumns({"c": F.coalesce("c", "id"), "d": F.coalesce("d", "prev")}).where("c <> d")
+    at = at.groupBy(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).agg(F.min_by("id", deepest).alias("id"), F.min_by("prev", deepest).alias("prev"))
+    second = written(alike(pairs_of(at, "prev").join(first, ["a", "b"], "left_anti"), classes, percent), "near")
+    more = confirmed(second, docs, doc_id, text, words, percent)
+    released(picks)
+    tidied(classes.sparkSession)
+    if more.limit(1).count():
+        links = links.union(more)
+        groups = components(links)
+    return links, groups, first.union(second)
+
+
+def prepared(docs: DataFrame, doc_id: str, text: str, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: every row's set, the classes of equal sets, and links (a, b) between the classes of rows that share an id."""
+    every = written(sets(docs, doc_id, text, words), "sets")
+    full = every.where("n > 0 AND id IS NOT NULL")
+    classes = written(full.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")), "classes")
+    several = full.groupBy("id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x <> y").select("id")
+    shared = full.join(small(written(several, "several")), "id", "left_semi").select(F.col("id").alias("a"), "s1", "s2").distinct()
+    return every, classes, written(shared.join(classes.select("s1", "s2", F.col("id").alias("b")), ["s1", "s2"]).select("a", "b"), "shared")
+
+
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row of docs."""
-    spark = docs.sparkSession
-    every = written(sets(docs, doc_id, text, words), "sets")
-    classes = every.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig"))
-    # One byte of each minimum is enough to estimate similarities.
-    bits = F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1"))
-    classes = written(classes.withColumn("bits", bits), "classes")
-    tidied(spark)
-    prefix = lambda k, deep: F.xxhash64(k, F.col("sig").substr(k * (4 * DEPTH) + 1, F.lit(4 * DEPTH * deep)))
-    trees = F.sequence(F.lit(0), F.lit(TREES - 1))
-    regions = classes.select("id", F.explode(F.transform(trees, lambda k: prefix(k, 1))).alias("region"))
-    crowds = written(regions.groupBy("region").agg(F.count("*").alias("crowd"), F.min("id").alias("first")).where("crowd > 1"), "crowds")
-    members = written(regions.join(crowds, "region"), "members")
-    pairs = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    deep = classes.select("id", F.explode(F.transform(trees, lambda k: F.struct(prefix(k, 1).alias("region"), prefix(k, 2).alias("deeper")))).alias("r")).select("id", "r.*")
-    deep = written(deep.join(small(written(crowds.where(F.col("crowd") > CROWDED).select("region"), "crowded")), "region", "left_semi").select("id", "deeper"), "deep")
-    heads = written(deep.groupBy("deeper").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("deeper", "a"), "heads")
-    pairs = written(pairs.union(deep.join(heads, "deeper").where("id <> a").select("a", F.col("id").alias("b"))).distinct(), "pairs")
-    near = written(alike(pairs, classes, percent), "near")
-    links = confirmed(near, docs, doc_id, text, words, percent)
-    tidied(spark)
-    groups = components(links)
-    # Regions that hold several components: the exact way for what the trees' first classes have not linked.
-    placed = written(members.select("region", "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    how = (docs, doc_id, text, words, percent)
+    every, classes, shared = prepared(docs, doc_id, text, words)
+    tidied(docs.sparkSession)
+    found = forest_rows(classes)
+    tidied(docs.sparkSession)
+    links, groups, tested = grown(found, classes, shared, *how)
+    # Regions that hold several components: the exact way for what the forest has not linked.
+    placed = written(found.select("region", "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     split = placed.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("region")
-    open_ = placed.join(small(written(split, "split")), "region", "left_semi").select("id", "component").distinct()
-    rest = prefix_pairs(written(open_, "open"), docs, doc_id, text, words, percent)
-    more = confirmed(written(rest.join(pairs, ["a", "b"], "left_anti"), "rest"), docs, doc_id, text, words, percent)
-    tidied(spark)
+    open_ = written(placed.join(small(written(split, "split")), "region", "left_semi").select("id", "component").distinct(), "open")
+    released(found, placed)
+    rest = prefix_pairs(open_, *how)
+    more = confirmed(written(rest.join(tested, ["a", "b"], "left_anti"), "rest"), *how)
+    tidied(docs.sparkSession)
     if more.limit(1).count():
         groups = components(links.union(more))
     own = classes.select("s1", "s2", F.col("id").alias("__first")).join(groups, F.col("__first") == groups["id"], "left").select("s1", "s2", F.coalesce("component", "__first").alias("component"))
