@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,8 @@ def tile(name: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     for k, row in enumerate(x):
         out[k] = ((row - y) ** 2).sum(1)
     return np.sqrt(out) if name == "euclidean" else out
+
+
+def spread(points: DataFrame) -> DataFrame:
+    """points (i, ...) dealt evenly to as many tasks as there are cores: the side of a cross join that its work is split by."""
+    return points.repartition(points.sparkSession.sparkContext.defaultParallelism, "i")

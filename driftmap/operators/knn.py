@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -10,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.cut import cut
 from ..functions.metrics import metric as metric_of
-from ..functions.metrics import tile
+from ..functions.metrics import spread, tile
+
+#: Points of a block, so that a tile has 32 MB.
+TILE = 2000
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
@@ -21,33 +26,44 @@ def nearest(edges: DataFrame, k: int) -> DataFrame:
 
 def knn_bruteforce(vectors: DataFrame, k: int, metric="sqeuclidean") -> DataFrame:
     """All ordered pairs of different ids. N * N distances by definition; use the curve for large inputs."""
-    a, b = vectors.select("i", "x"), vectors.select(F.col("i").alias("j"), F.col("x").alias("z"))
+    a, b = spread(vectors.select("i", "x")), vectors.select(F.col("i").alias("j"), F.col("x").alias("z"))
     pairs = a.crossJoin(b).where("i <> j")
     return nearest(pairs.select("i", "j", metric_of(metric)(F.col("x"), F.col("z")).alias("d")), k)
 
 
+def blocks_for(vectors: DataFrame) -> int:
+    """So many blocks that one has about TILE points, and every core has a pair of blocks."""
+    return max(math.isqrt(2 * vectors.sparkSession.sparkContext.defaultParallelism), -(-vectors.count() // TILE), 1)
+
+
 def knn_blocked(vectors: DataFrame, k: int, metric: str = "sqeuclidean", blocks: int | None = None) -> DataFrame:
-    """The same result by tiles: points are dealt to blocks by id, every pair of blocks is one numpy task that keeps k per row."""
+    """The same result by tiles: points are dealt to blocks by id; every two blocks are one numpy task that keeps k per point, both ways.
+
+    A task holds one tile, by default of TILE * TILE distances at most. Each point is sent to as many tasks as there are blocks.
+    """
     metric_of(metric)
-    blocks = blocks or vectors.sparkSession.sparkContext.defaultParallelism
-    own = vectors.select("i", "x", F.pmod("i", F.lit(blocks)).alias("b"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    rows = own.select("i", "x", F.lit(0).alias("side"), F.col("b").alias("p"), F.explode(others).alias("q"))
-    columns = own.select("i", "x", F.lit(1).alias("side"), F.explode(others).alias("p"), F.col("b").alias("q"))
+    blocks = blocks or blocks_for(vectors)
+    own = vectors.select("i", "x", F.pmod("i", F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
+    pairs = own.select("i", "x", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+
+    def closest(ids: np.ndarray, js: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        best = np.argsort(d, 1, kind="stable")[:, :k]
+        out = pd.DataFrame({"i": np.repeat(ids, best.shape[1]), "j": js[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel()})
+        return out[np.isfinite(out.d)]
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        left, right = t[t.side == 0], t[t.side == 1].sort_values("i")
+        p, q = t.p.iloc[0], t.q.iloc[0]
+        t = t.sort_values("i")
+        left, right = t[t.b == p], t[t.b == q]
         if not len(left) or not len(right):
             return pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64"})
         ids, js = left.i.to_numpy(), right.i.to_numpy()
         d = tile(metric, np.stack(left.x.to_numpy()), np.stack(right.x.to_numpy()))
-        d[ids[:, None] == js[None, :]] = np.inf
-        best = np.argsort(d, 1, kind="stable")[:, :k]
-        out = pd.DataFrame({"i": np.repeat(ids, best.shape[1]), "j": js[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel()})
-        return out[np.isfinite(out.d)]
+        if p == q:
+            d[ids[:, None] == js[None, :]] = np.inf
+        return closest(ids, js, d) if p == q else pd.concat([closest(ids, js, d), closest(js, ids, d.T)])
 
-    tiles = rows.unionByName(columns).groupBy("p", "q").applyInPandas(run, "i long, j long, d double")
-    return nearest(tiles, k)
+    return nearest(pairs.groupBy("p", "q").applyInPandas(run, "i long, j long, d double"), k)
 
 
 def morton_keys(x: np.ndarray) -> list[bytes]:
@@ -69,8 +85,7 @@ def ranked(points: DataFrame) -> DataFrame:
         return pd.Series(morton_keys(np.stack(x.to_numpy())) if len(x) else [], dtype=object)
 
     keyed = cut(points.select("i", key("x").alias("key")))
-    n = max(1, keyed.rdd.getNumPartitions())
-    placed = keyed.repartitionByRange(n, "key", "i").sortWithinPartitions("key", "i").select("i")
+    placed = keyed.repartitionByRange("key", "i").sortWithinPartitions("key", "i").select("i")
 
     def number(batches):
         from pyspark import TaskContext
@@ -95,9 +110,10 @@ def curve_candidates(points: DataFrame, k: int) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
 
 
-def knn_zorder(vectors: DataFrame, k: int, metric="sqeuclidean", iterations: int = 3, seed: int = 0) -> DataFrame:
+def knn_zorder(vectors: DataFrame, k: int, metric="sqeuclidean", iterations: int = 3, seed: int = 0, dimension: int | None = None) -> DataFrame:
     """Approximate: candidates from one plain and iterations - 1 randomly shifted curves, exact distances, k best of each i."""
-    dimension = (vectors.select(F.size("x")).first() or [0])[0]
+    if dimension is None:
+        dimension = (vectors.select(F.size("x")).first() or [0])[0]
     rng = np.random.default_rng(seed)
     found = curve_candidates(vectors, k)
     for _ in range(iterations - 1):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tree import repulsion_barnes_hut
+from ..functions.cut import cut
+from ..functions.metrics import spread
+from .tree import repulsion_barnes_hut, width_of
 
 MIN_GAIN = 0.01
 
@@ -38,7 +40,7 @@ def low_distance(metric: str) -> Column:
 
 def repulsion_exact(y: DataFrame) -> DataFrame:
     """(i, r0, r1, sq): the sums over all other points; N * N pairs by definition."""
-    a, b = y.select("i", "y0", "y1"), y.select(F.col("i").alias("j"), F.col("y0").alias("z0"), F.col("y1").alias("z1"))
+    a, b = spread(y.select("i", "y0", "y1")), y.select(F.col("i").alias("j"), F.col("y0").alias("z0"), F.col("y1").alias("z1"))
     q = 1 / (1 + low_distance("sqeuclidean"))
     pairs = a.crossJoin(b).where("i <> j").select("i", q.alias("q"), (F.col("y0") - F.col("z0")).alias("dx"), (F.col("y1") - F.col("z1")).alias("dy"))
     return pairs.groupBy("i").agg(F.sum(F.col("q") * F.col("q") * F.col("dx")).alias("r0"), F.sum(F.col("q") * F.col("q") * F.col("dy")).alias("r1"), F.sum("q").alias("sq"))
@@ -58,21 +60,24 @@ def attraction(joint: DataFrame, y: DataFrame, metric: str = "sqeuclidean", scal
     return e.groupBy("i").agg(F.sum(pull * F.col("dx")).alias("a0"), F.sum(pull * F.col("dy")).alias("a1"))
 
 
-def losses(joint: DataFrame, y: DataFrame, z: float, metric: str = "sqeuclidean", scale: float = 1.0) -> tuple[float, float]:
-    """(loss with p scaled, divergence with plain p); p = 0 adds nothing."""
+def loss_terms(joint: DataFrame, y: DataFrame, z: float, metric: str = "sqeuclidean", scale: float = 1.0) -> DataFrame:
+    """One row: loss with p scaled, kl with plain p; p = 0 adds nothing."""
     e = placed_edges(joint.where("p > 0"), y, metric)
     s, t = F.col("p") * scale, F.col("p")
-    row = e.agg(F.sum(s * F.log(s / (F.col("q") / z))).alias("loss"), F.sum(t * F.log(t / (F.col("q") / z))).alias("kl")).first()
-    return row["loss"], row["kl"]
+    return e.agg(F.sum(s * F.log(s / (F.col("q") / z))).alias("loss"), F.sum(t * F.log(t / (F.col("q") / z))).alias("kl"))
 
 
-def repulsion(y: DataFrame, theta: float) -> DataFrame:
-    return repulsion_barnes_hut(y, theta) if theta > 0 else repulsion_exact(y)
+def losses(joint: DataFrame, y: DataFrame, z: float, metric: str = "sqeuclidean", scale: float = 1.0) -> tuple[float, float]:
+    return tuple(loss_terms(joint, y, z, metric, scale).first())
+
 
+def repulsion(y: DataFrame, theta: float, width: float | None = None) -> DataFrame:
+    return repulsion_barnes_hut(y, theta, width=width) if theta > 0 else repulsion_exact(y)
 
-def gradient(joint: DataFrame, y: DataFrame, metric: str = "sqeuclidean", theta: float = 0.25, scale: float = 1.0) -> DataFrame:
-    """(i, d0, d1): attraction minus repulsion over the sum of all q."""
-    push = repulsion(y, theta)
+
+def gradient(joint: DataFrame, y: DataFrame, metric: str = "sqeuclidean", theta: float = 0.25, scale: float = 1.0, push: DataFrame | None = None) -> DataFrame:
+    """(i, d0, d1): attraction minus repulsion over the sum of all q. push: the repulsion, if it is there already; it is read twice."""
+    push = cut(repulsion(y, theta), "push") if push is None else push
     z = push.agg(F.sum("sq").alias("z"))
     both = attraction(joint, y, metric, scale).join(push, "i").crossJoin(F.broadcast(z))
     return both.select("i", (F.col("a0") - F.col("r0") / F.col("z")).alias("d0"), (F.col("a1") - F.col("r1") / F.col("z")).alias("d1"))
@@ -91,12 +96,21 @@ def update_embedding(grad: DataFrame, state: DataFrame, momentum: float, rate: f
 
 
 def center_embedding(state: DataFrame) -> DataFrame:
-    """state with y0 and y1 moved to mean 0."""
+    """state with y0 and y1 moved to mean 0; state is read twice."""
     mean = state.agg(F.avg("y0").alias("m0"), F.avg("y1").alias("m1"))
     df = state.crossJoin(F.broadcast(mean))
     return df.withColumns({"y0": F.col("y0") - F.col("m0"), "y1": F.col("y1") - F.col("m1")}).drop("m0", "m1")
 
 
+def centered(state: DataFrame) -> tuple[DataFrame, float]:
+    """state (a written table) with y0 and y1 moved to mean 0, and the half-width of its tree's root, from one aggregate."""
+    m0, m1, *ends = state.agg(F.avg("y0"), F.avg("y1"), F.min("y0"), F.max("y0"), F.min("y1"), F.max("y1")).first()
+    if m0 is None:
+        return state, width_of(None, 0, 0, 0)
+    moved = state.withColumns({"y0": F.col("y0") - F.lit(m0), "y1": F.col("y1") - F.lit(m1)})
+    return moved, width_of(ends[0] - m0, ends[1] - m0, ends[2] - m1, ends[3] - m1)
+
+
 def center_input(vectors: DataFrame) -> DataFrame:
     """(i, x) less the mean vector."""
     flat = vectors.select("i", F.posexplode("x").alias("c", "v"))

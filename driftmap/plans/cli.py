@@ -43,7 +43,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     s = Settings(a.metric, a.perplexity, a.earlyExaggeration, a.learningRate, a.iterations, a.randomState, a.neighbors, a.initialMomentum, a.finalMomentum, a.theta, a.knnMethod, a.knnIterations, a.knnBlocks, a.nComponents)
     data = coo.read_distances(spark, a.input) if a.inputDistanceMatrix else coo.coo_to_vectors(coo.read_coo(spark, a.input), a.dimension)
     if a.executionPlan:
-        Path(a.planFile).write_text(explain(data, s))
+        Path(a.planFile).write_text(explain(data, s, a.dimension))
         return
     result = embed_knn(data, s) if a.inputDistanceMatrix else embed(data, s)
     coo.write_embedding(result.embedding, a.output)

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cut import cut
-from ..functions.metrics import metric
+from ..functions.cut import cut, shared_dir
+from ..functions.metrics import metric, spread
 from ..operators import affinity, knn, layout, tree
 from ..sources import coo
 from .pipeline import Settings, embed, step
 
-K, PERPLEXITY, RATE, DEPTH = 15, 5.0, 10.0, 12
+K, PERPLEXITY, RATE = 15, 5.0, 10.0
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,7 +27,7 @@ def positions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark, sf):
-    return knn.knn_bruteforce(vectors(spark, sf), K)
+    return knn.knn_blocked(vectors(spark, sf), K)
 
 
 def joint(spark, sf):
@@ -62,11 +62,11 @@ def _metric(name):
 
 
 def knn_bruteforce(spark, sf):
-    return scaled(edges(spark, sf), 1e9, "d")
+    return scaled(knn.knn_bruteforce(vectors(spark, sf), K), 1e9, "d")
 
 
 def knn_blocked(spark, sf):
-    return scaled(knn.knn_blocked(vectors(spark, sf), K), 1e9, "d")
+    return scaled(edges(spark, sf), 1e9, "d")
 
 
 def knn_zorder(spark, sf):
@@ -90,22 +90,39 @@ def joint_distribution(spark, sf):
 
 
 def joint_rows(spark, sf):
+    """Each point's partners with their probabilities, in units of 1e-9."""
     rows = affinity.joint_rows(joint(spark, sf))
-    return rows.select("i", F.size("row").cast("long").alias("n"), F.array_join(F.col("row.j").cast("array<string>"), ",").alias("partners"))
+    one = lambda e: F.concat_ws(":", e["j"].cast("string"), F.floor(e["p"] * 1e9 + 0.5).cast("long").cast("string"))
+    return rows.select("i", F.size("row").cast("long").alias("n"), F.array_join(F.transform("row", one), ",").alias("partners"))
+
+
+def distances(spark, sf):
+    """The distance table of all points, with self edges."""
+    v = vectors(spark, sf)
+    return spread(v).crossJoin(v.toDF("j", "z")).select("i", "j", metric("sqeuclidean")(F.col("x"), F.col("z")).alias("d"))
 
 
 def distance_matrix_affinities(spark, sf):
-    """A distance table of the first ten points of each hundred, with self edges, taken as it is."""
-    v = vectors(spark, sf).where("i % 100 < 10")
-    d = v.crossJoin(v.toDF("j", "z")).select("i", "j", metric("sqeuclidean")(F.col("x"), F.col("z")).alias("d"))
-    return scaled(affinity.pairwise_affinities(d, PERPLEXITY), 1e6, "p")
+    """The distance table of all points, taken as it is."""
+    return scaled(affinity.pairwise_affinities(distances(spark, sf), PERPLEXITY), 1e6, "p")
 
 
-def distance_matrix_affinities_all(spark, sf):
-    """The distance table of all points, with self edges, taken as it is."""
-    v = vectors(spark, sf)
-    d = v.crossJoin(v.toDF("j", "z")).select("i", "j", metric("sqeuclidean")(F.col("x"), F.col("z")).alias("d"))
-    return scaled(affinity.pairwise_affinities(d, PERPLEXITY), 1e6, "p")
+def csv_of(df: DataFrame, name: str) -> str:
+    """The folder of a CSV file of df."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.csv(path)
+    return path
+
+
+def csv_coo_vectors(spark, sf):
+    """All vectors, written as a coordinate CSV, read back and assembled."""
+    path = csv_of(coo.vectors_to_coo(vectors(spark, sf)), "coo-csv")
+    return scaled(coo.coo_to_vectors(coo.read_coo(spark, path), 64).select("i", F.posexplode("x").alias("c", "v")), 1e9, "v")
+
+
+def csv_distance_affinities(spark, sf):
+    """The distance table of all points, written as CSV, read back and taken as it is."""
+    return scaled(affinity.pairwise_affinities(coo.read_distances(spark, csv_of(distances(spark, sf), "distance-csv")), PERPLEXITY), 1e6, "p")
 
 
 def init_working_set(spark, sf):
@@ -117,7 +134,7 @@ def embedding_bounds(spark, sf):
 
 
 def cell_pyramid(spark, sf):
-    return scaled(tree.cell_pyramid(positions(spark, sf), DEPTH), 1e6, "mx", "my")
+    return scaled(tree.cell_pyramid(positions(spark, sf)), 1e6, "mx", "my")
 
 
 def repulsion_exact(spark, sf):
@@ -181,8 +198,8 @@ def three_iterations(spark, sf):
 
 
 def embed_map(spark, sf):
-    """The flagship: neighbours, affinities and a short schedule with the tree."""
-    return embed(vectors(spark, sf), Settings(perplexity=PERPLEXITY, neighbors=K, iterations=12, learning_rate=100.0)).embedding
+    """The flagship: neighbours, affinities and a schedule through all three phases, with the tree."""
+    return embed(vectors(spark, sf), Settings(perplexity=PERPLEXITY, neighbors=K, knn_method="partition", iterations=110, learning_rate=100.0)).embedding
 
 
 E = "e AS (SELECT vec_id AS i, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
@@ -259,14 +276,30 @@ METRIC_SQL = {
     "cosine": "1 - list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a.x, lambda z: z * z))) * sqrt(list_sum(list_transform(b.x, lambda z: z * z))))",
 }
 WIDTH = "w AS (SELECT greatest(max(y0) - min(y0), max(y1) - min(y1), abs(min(y0)), abs(max(y0)), abs(min(y1)), abs(max(y1))) AS w FROM y)"
-CELLS = f"""c AS (SELECT level, least(greatest(ceil((y0 + w) / (2 * w / pow(2, level))) - 1, 0), pow(2, level) - 1)::BIGINT AS cx, least(greatest(floor((y1 + w) / (2 * w / pow(2, level))), 0), pow(2, level) - 1)::BIGINT AS cy, y0, y1
-  FROM y, w, (SELECT unnest(range({DEPTH + 1})) AS level))"""
-DM = f"v AS (SELECT * FROM e WHERE i % 100 < 10), dm AS (SELECT a.i AS i, b.i AS j, {SQ} AS d FROM v a, v b)"
+CELLS = f"""located AS (SELECT i, level, least(greatest(ceil((y0 + w) / (2 * w / pow(2, level))) - 1, 0), pow(2, level) - 1)::BIGINT AS cx, least(greatest(floor((y1 + w) / (2 * w / pow(2, level))), 0), pow(2, level) - 1)::BIGINT AS cy, y0, y1
+  FROM y, w, (SELECT unnest(range({tree.DEPTH + 1})) AS level)),
+  every AS (SELECT level, cx, cy, count(*) AS n, avg(y0) AS mx, avg(y1) AS my, min(y0) = max(y0) AND min(y1) = max(y1) AS leaf, min(y0) AS x0, min(y1) AS x1 FROM located GROUP BY level, cx, cy),
+  cells AS MATERIALIZED (SELECT c.level, c.cx, c.cy, c.n, CASE WHEN c.leaf THEN c.x0 ELSE c.mx END AS mx, CASE WHEN c.leaf THEN c.x1 ELSE c.my END AS my, c.leaf
+  FROM every c LEFT JOIN every p ON p.level = c.level - 1 AND p.cx = c.cx // 2 AND p.cy = c.cy // 2 WHERE c.level = 0 OR NOT p.leaf)"""
+MET = "(SELECT *, leaf OR width < {theta} * dist AS stop FROM (SELECT f.i, f.y0, f.y1, c.*, f.y0 - c.mx AS dx, f.y1 - c.my AS dy, (f.y0 - c.mx) * (f.y0 - c.mx) + (f.y1 - c.my) * (f.y1 - c.my) AS dist, w.w / pow(2, c.level) AS width FROM f JOIN cells c ON c.level = f.level AND c.cx = f.cx AND c.cy = f.cy, w))"
+
+
+def barnes_hut_sql(theta: float) -> str:
+    """The traversal as a recursion over levels; no cell of the last level may hold several distinct points."""
+    met = MET.format(theta=theta)
+    forces = "SELECT i, sum(m * q * q * dx) AS r0, sum(m * q * q * dy) AS r1, sum(m * q) AS sq FROM (SELECT *, 1 / (1 + dist) AS q, n - (CASE WHEN leaf AND dx = 0 AND dy = 0 THEN 1 ELSE 0 END) AS m FROM (" + met + ") WHERE stop) GROUP BY i"
+    visit = f"f(i, y0, y1, level, cx, cy) AS (SELECT i, y0, y1, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM y UNION ALL SELECT i, y0, y1, level + 1, 2 * cx + a, 2 * cy + b FROM {met}, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(a, b) WHERE NOT stop)"
+    return f"WITH RECURSIVE {Y}, {WIDTH}, {CELLS}, {visit} SELECT i, {cols_sql(1e6, 'r0', 'r1', 'sq')} FROM ({forces})"
+
+
+DM = f"dm AS MATERIALIZED (SELECT a.i AS i, b.i AS j, {SQ} AS d FROM e a, e b)"
 
 _knn_sql = f"WITH {E}, {KNN} SELECT i, j, {cols_sql(1e9, 'd')} FROM k"
 _all_pairs = f"WITH {Y} SELECT i, {cols_sql(1e6, 'r0', 'r1', 'sq')} FROM ({repulsion_sql('y')})"
+_coo_sql = f"SELECT i, CAST(c AS INTEGER) AS c, {cols_sql(1e9, 'v')} FROM (SELECT vec_id AS i, unnest(range(64)) AS c, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+_distances_sql = f"WITH RECURSIVE {E}, {DM}, {beta_sql('dm')}, {p_sql('dm')} SELECT i, j, {cols_sql(1e6, 'p')} FROM pc"
 ORACLES = {
-    "coo_entries": f"SELECT i, CAST(c AS INTEGER) AS c, {cols_sql(1e9, 'v')} FROM (SELECT vec_id AS i, unnest(range(64)) AS c, unnest(embedding)::DOUBLE AS v FROM embeddings)",
+    "coo_entries": _coo_sql,
     "coo_to_vector": f"SELECT i, CAST(c AS INTEGER) AS c, {cols_sql(1e9, 'v')} FROM (SELECT i, c, greatest(v, 0) AS v, max(v) OVER (PARTITION BY i) AS m FROM (SELECT vec_id AS i, unnest(range(64)) AS c, unnest(embedding)::DOUBLE AS v FROM embeddings)) WHERE m > 0",
     **{f"metric_{m}": f"WITH {E} SELECT a.i, {cols_sql(1e9, 'd')} FROM (SELECT a.i, {sql} AS d FROM e a JOIN e b ON b.i = a.i + 1) a" for m, sql in METRIC_SQL.items()},
     "knn_bruteforce": _knn_sql,
@@ -275,11 +308,14 @@ ORACLES = {
     "affinity_beta": f"WITH RECURSIVE {E}, {KNN}, {beta_sql('k')} SELECT i, {cols_sql(1e6, 'beta')} FROM b",
     "pairwise_affinities": f"WITH RECURSIVE {AFFINE} SELECT i, j, {cols_sql(1e6, 'p')} FROM pc",
     "joint_distribution": f"WITH RECURSIVE {JOINT} SELECT i, j, {cols_sql(1e9, 'p')} FROM p",
-    "joint_rows": f"WITH {E}, {KNN} SELECT i, count(*) AS n, string_agg(j::VARCHAR, ',' ORDER BY j) AS partners FROM (SELECT i, j FROM k UNION SELECT j, i FROM k) GROUP BY i",
-    "distance_matrix_affinities": f"WITH RECURSIVE {E}, {DM}, {beta_sql('dm')}, {p_sql('dm')} SELECT i, j, {cols_sql(1e6, 'p')} FROM pc",
+    "joint_rows": f"WITH RECURSIVE {JOINT} SELECT i, count(*) AS n, string_agg(j || ':' || CAST(floor(p * 1e9::DOUBLE + 0.5) AS BIGINT), ',' ORDER BY j) AS partners FROM p GROUP BY i",
+    "distance_matrix_affinities": _distances_sql,
+    "csv_distance_affinities": _distances_sql,
+    "csv_coo_vectors": _coo_sql,
     "init_working_set": f"SELECT i, {cols_sql(1e12, 'y0', 'y1')}, 0::DOUBLE AS u0, 0::DOUBLE AS u1, 1::DOUBLE AS g0, 1::DOUBLE AS g1 FROM (SELECT i, {normal_sql(0)} AS y0, {normal_sql(1)} AS y1 FROM (SELECT vec_id AS i FROM embeddings))",
     "embedding_bounds": f"WITH {Y} SELECT {cols_sql(1e9, 'min_x', 'max_x', 'min_y', 'max_y')}, n FROM (SELECT min(y0) AS min_x, max(y0) AS max_x, min(y1) AS min_y, max(y1) AS max_y, count(*) AS n FROM y)",
-    "cell_pyramid": f"WITH {Y}, {WIDTH}, {CELLS} SELECT level, cx, cy, n, {cols_sql(1e6, 'mx', 'my')}, leaf FROM (SELECT level, cx, cy, count(*) AS n, avg(y0) AS mx, avg(y1) AS my, (min(y0) = max(y0) AND min(y1) = max(y1)) OR level = {DEPTH} AS leaf FROM c GROUP BY level, cx, cy)",
+    "cell_pyramid": f"WITH {Y}, {WIDTH}, {CELLS} SELECT level, cx, cy, n, {cols_sql(1e6, 'mx', 'my')}, leaf FROM cells",
+    "repulsion_barnes_hut": barnes_hut_sql(0.25),
     "repulsion_exact": _all_pairs,
     "repulsion_barnes_hut_zero": _all_pairs,
     "sum_q": f"WITH {Y} SELECT {cols_sql(1e3, 'z')} FROM (SELECT sum(sq) AS z FROM ({repulsion_sql('y')}))",
@@ -292,4 +328,4 @@ ORACLES = {
     "one_iteration": iterations_sql(1),
     "three_iterations": iterations_sql(3),
 }
-QUERIES = {f.__name__: f for f in (coo_entries, coo_to_vector, _metric("sqeuclidean"), _metric("euclidean"), _metric("cosine"), knn_bruteforce, knn_blocked, knn_zorder, affinity_beta, pairwise_affinities, joint_distribution, joint_rows, distance_matrix_affinities, distance_matrix_affinities_all, init_working_set, embedding_bounds, cell_pyramid, repulsion_exact, repulsion_barnes_hut, repulsion_barnes_hut_zero, sum_q, attraction, gradient_exact, loss, update_embedding, center_embedding, center_input, one_iteration, three_iterations, embed_map)}
+QUERIES = {f.__name__: f for f in (coo_entries, coo_to_vector, _metric("sqeuclidean"), _metric("euclidean"), _metric("cosine"), knn_bruteforce, knn_blocked, knn_zorder, affinity_beta, pairwise_affinities, joint_distribution, joint_rows, distance_matrix_affinities, csv_coo_vectors, csv_distance_affinities, init_working_set, embedding_bounds, cell_pyramid, repulsion_exact, repulsion_barnes_hut, repulsion_barnes_hut_zero, sum_q, attraction, gradient_exact, loss, update_embedding, center_embedding, center_input, one_iteration, three_iterations, embed_map)}

@@ -12,7 +12,7 @@ def test_distance_matrix_of_all_points(spark, tmp_path):
     ids, x = [*range(5, 30), 115], rng.normal(size=(26, 6)).astype(np.float32)
     rows = [(i, [float(c) for c in v]) for i, v in zip(ids, x, strict=True)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r.i, r.j): r.p for r in entry.queries()["distance_matrix_affinities_all"](spark, str(tmp_path)).collect()}
+    got = {(r.i, r.j): r.p for r in entry.queries()["distance_matrix_affinities"](spark, str(tmp_path)).collect()}
     assert set(got) == {(i, j) for i in ids for j in ids}
     d = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
     for k, i in enumerate(ids):
