@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -14,37 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.cut import released, shared_dir, written
+
+__all__ = ["BLANKS", "BROADCAST_ROWS", "Spans", "WordHashes", "add_columns", "arrow_rows", "mixed", "released", "shared_dir", "small", "tidied", "written"]
+
 #: Rows up to which a table counted beforehand is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 #: The separators of words in every contract: space and the controls 9 to 13. ``bytes.split()`` splits at these and at no others.
 BLANKS = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the folder that all executors share (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file:///tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/driftmap-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def released(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing reads any more."""
-    for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
 def tidied(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
     gc.collect()
