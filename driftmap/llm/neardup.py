@@ -4,7 +4,7 @@ A text is the set of its distinct shingles of ``words`` words, A-Z lower-cased.
 signature of TREES * BASE minima, of which one byte each is kept. Every tree is a sorted order of all classes by LEVELS
 minima, beginning with the tree's own. Neighbours in an order have the longest common prefixes; classes that share BASE minima
 or more form a region. The depth adapts to the region: where more than CROWDED classes share a prefix, neighbours must
-share a longer one. Each class takes its deepest neighbour and one neighbour at random from all orders; pairs that pass the
+share a longer one. Each class takes its deepest neighbour and the one of the smallest id from all orders; pairs that pass the
 bounds on set sizes and signatures are confirmed on the full sets and grown into components. Of all other neighbours, one
 pair for every two components that neighbour each other follows in a second round.
 
@@ -259,32 +259,38 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if settled(edge):
             break
         around = edge.union(edge.select("v", "u"))
-        least = written(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, edge = edge, written(large.where("u <> v").distinct(), "large")
-        released(old, least)
-        least = written(edge.groupBy("u").agg(F.min("v").alias("m")), "least")
-        joined = edge.join(least, "u")
-        old, edge = edge, written(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u <> v").distinct(), "small")
-        released(old, least)
+        large = written(large.where("u <> v").distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        old, edge = edge, written(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u <> v").distinct(), "small")
+        released(old, large)
     else:
         raise RuntimeError("the components did not settle")
     own = edge.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return written(own.union(edge.select("v", "v").distinct()), "components")
 
 
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (id, component) with components joined by more links (a, b): only the components that these touch are worked on."""
+    own = groups.select("id", "component")
+    ends = links.join(own.toDF("a", "c"), "a", "left").join(own.toDF("b", "d"), "b", "left").select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b"))
+    more = components(written(ends.where("a <> b").distinct(), "ends")).toDF("__id", "__to")
+    ids = own.union(links.select("a", "a")).union(links.select("b", "b")).groupBy("id").agg(F.min("component").alias("component"))
+    return written(ids.join(more, F.col("component") == F.col("__id"), "left").select("id", F.coalesce("__to", "component").alias("component")), "components")
+
+
 def pairs_of(df: DataFrame, other: str) -> DataFrame:
     """Distinct (a, b), a < b, of the columns id and other."""
     return df.where(F.col("id") != F.col(other)).select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
 
 
-def grown(found: DataFrame, classes: DataFrame, known: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, components, pairs tested on full sets) from the forest's neighbours alone; known: links (a, b) there are already."""
+def grown(found: DataFrame, classes: DataFrame, known: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(components, pairs tested on full sets) from the forest's neighbours alone; known: links (a, b) there are already."""
     order = found.where("prev IS NOT NULL").select("id", "prev", "lcp")
     either = order.union(order.select("prev", "id", "lcp"))
-    chance = lambda seed: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.least("id", "prev"), F.greatest("id", "prev")), 8)
-    deepest = F.shiftleft((LEVELS - F.col("lcp")).cast("long"), 56) + chance(1)  # chance() leaves the upper byte free
-    picks = either.groupBy("id").agg(F.min_by("prev", deepest).alias("x"), F.min_by("prev", chance(2)).alias("y"))
+    deepest = F.shiftleft((LEVELS - F.col("lcp")).cast("long"), 56) + F.shiftrightunsigned(F.xxhash64(F.least("id", "prev"), F.greatest("id", "prev")), 8)  # ties by chance
+    picks = either.groupBy("id").agg(F.min_by("prev", deepest).alias("x"), F.min("prev").alias("y"))
     picks = written(picks, "picks")
     first = written(alike(pairs_of(picks, "x").union(pairs_of(picks, "y")).distinct(), classes, percent), "near")
     links = confirmed(first, docs, doc_id, text, words, percent).union(known)
@@ -298,10 +304,7 @@ def grown(found: DataFrame, classes: DataFrame, known: DataFrame, docs: DataFram
     more = confirmed(second, docs, doc_id, text, words, percent)
     released(picks)
     tidied(classes.sparkSession)
-    if more.limit(1).count():
-        links = links.union(more)
-        groups = components(links)
-    return links, groups, first.union(second)
+    return (joined(groups, more) if more.limit(1).count() else groups), first.union(second)
 
 
 def prepared(docs: DataFrame, doc_id: str, text: str, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -321,7 +324,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     tidied(docs.sparkSession)
     found = forest_rows(classes)
     tidied(docs.sparkSession)
-    links, groups, tested = grown(found, classes, shared, *how)
+    groups, tested = grown(found, classes, shared, *how)
     # Regions that hold several components: the exact way for what the forest has not linked.
     placed = written(found.select("region", "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     split = placed.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("region")
@@ -331,7 +334,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     more = confirmed(written(rest.join(tested, ["a", "b"], "left_anti"), "rest"), *how)
     tidied(docs.sparkSession)
     if more.limit(1).count():
-        groups = components(links.union(more))
+        groups = joined(groups, more)
     own = classes.select("s1", "s2", F.col("id").alias("__first")).join(groups, F.col("__first") == groups["id"], "left").select("s1", "s2", F.coalesce("component", "__first").alias("component"))
     rows = every.select("id", "n", "s1", "s2").join(written(own, "own"), ["s1", "s2"], "left")
     return rows.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

@@ -53,7 +53,7 @@ def test_recall_of_the_forest_alone(spark, sf, source):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     _, classes, shared = neardup.prepared(docs, "doc_id", "text", 2)
     found = neardup.forest_rows(classes)
-    _, groups, _ = neardup.grown(found, classes, shared, docs, "doc_id", "text", 2, 80)
+    groups, _ = neardup.grown(found, classes, shared, docs, "doc_id", "text", 2, 80)
     component = {r.id: r.component for r in groups.collect()}
     first = {}
     for i, t in sorted(rows):
@@ -99,3 +99,10 @@ def test_common_prefixes():
     y = x ^ (rng.integers(1, 256, 300) << (8 * rng.integers(0, 8, 300)))
     want = [next((k for k, (p, q) in enumerate(zip(int(a).to_bytes(8, "big", signed=True), int(b).to_bytes(8, "big", signed=True), strict=True)) if p != q), 8) for a, b in zip(x, y, strict=True)]
     assert neardup.common_prefix(x, y).tolist() == want and neardup.common_prefix(x, x).tolist() == [8] * 300
+
+
+def test_more_links_join_components(spark):
+    links = [(1, 2), (2, 3), (10, 11), (20, 21), (30, 31)]
+    groups = neardup.components(spark.createDataFrame(links, "a long, b long"))
+    got = {r.id: r.component for r in neardup.joined(groups, spark.createDataFrame([(3, 21), (11, 40), (50, 51), (2, 1)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 20: 1, 21: 1, 10: 10, 11: 10, 40: 10, 30: 30, 31: 30, 50: 50, 51: 50}
