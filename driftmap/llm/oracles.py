@@ -79,36 +79,38 @@ SELECT doc_id, n_shingles, coalesce(component_id, doc_id) AS component_id, doc_i
 FROM own LEFT JOIN classes USING (shingles) LEFT JOIN components USING (rep)"""
 
 
-def url_sql(rules: list[tuple[str, str]], depth: int = 4, z: float = 1.96, smoothing: float = 10.0, limit: float = 0.8) -> str:
-    """The filter of op2: the rules, then the tree's levels one after the other."""
+def url_sql(rules: list[tuple[str, str]], words: tuple[str, ...], fan: int, levels: int = 6, z: float = 1.96, smoothing: float = 5.0, limit: float = 0.8) -> str:
+    """The filter of op2: the rules, then the tree's levels one after the other; paths may have as many segments as there are levels."""
     fits = []
     for action, rule in sorted(rules, key=lambda r: -len(r[1])):
         host, _, rest = rule.partition("/")
         fits.append((f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{rest}')", rule, action))
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
     general = r"regexp_replace(x, '[0-9A-Fa-f]{8,}(-[0-9A-Fa-f]+)*|[0-9]+', '#', 'g')"
+    unwanted = f"regexp_matches(lower(host || '/' || path), '(^|[^a-z0-9])({'|'.join(words)})([^a-z0-9]|$)')"
     out = [
         "u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
         "h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM u)",
         f"p AS (SELECT page_id, translate(raw_host, {UPPER}, {LOWER}) AS host, regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM h)",
         f"a AS (SELECT *, {case(1)} AS rule, {case(2)} AS action, list_filter(string_split(path, '/'), lambda x: x <> '') AS own FROM p)",
-        f"b AS (SELECT *, array_to_string(list_concat(list_transform(list_slice(own, 1, {depth}), lambda x: {general}), CASE WHEN len(own) > {depth} THEN ['**'] ELSE [] END), '/') AS raw FROM a)",
-        "t0 AS (SELECT host, raw, string_split(raw, '/') AS segments, count(action) AS labelled, count(*) FILTER (action = 'block') AS blocked FROM b GROUP BY host, raw)",
+        f"b AS (SELECT *, CASE WHEN {unwanted} THEN true ELSE action = 'block' END AS bad, array_to_string(list_transform(own, lambda x: {general}), '/') AS raw FROM a)",
+        "t0 AS (SELECT host, raw, string_split(raw, '/') AS segments, count(*) AS pages, count(bad) AS labelled, count(*) FILTER (bad) AS blocked FROM b GROUP BY host, raw)",
         "g AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(blocked) / sum(labelled) ELSE 0 END AS rate FROM t0)",
     ]
-    for k in range(depth):
+    for k in range(levels):
         out += [
             f"s{k} AS (SELECT *, array_to_string(list_slice(segments, 1, {k}), '/') AS up, segments[{k + 1}] AS seg FROM t{k})",
-            f"n{k} AS (SELECT host, up, seg, sum(labelled) AS l, sum(blocked) AS b FROM s{k} WHERE seg IS NOT NULL GROUP BY host, up, seg)",
-            f"m{k} AS (SELECT *, count(*) OVER w AS fan, sum(l) OVER w AS all_l, sum(b) OVER w AS all_b FROM n{k} WINDOW w AS (PARTITION BY host, up))",
-            f"j{k} AS (SELECT host, up, seg, CASE WHEN l = 0 THEN '?' ELSE '*' END AS merged FROM m{k} WHERE fan > 1 AND CASE WHEN l = 0 OR all_l = l OR all_b = 0 OR all_b = all_l THEN true "
+            f"n{k} AS (SELECT host, up, seg, sum(pages) AS n, sum(labelled) AS l, sum(blocked) AS b FROM s{k} WHERE seg IS NOT NULL GROUP BY host, up, seg)",
+            f"m{k} AS (SELECT *, count(*) OVER w AS fan, sum(n) OVER w AS all_n, sum(l) OVER w AS all_l, sum(b) OVER w AS all_b FROM n{k} WINDOW w AS (PARTITION BY host, up))",
+            f"v{k} AS (SELECT host, up, seg, l, count(*) FILTER (l > 0 AND fan >= {fan} AND all_n <= fan * fan) OVER (PARTITION BY host, up) > 1 AS shared FROM m{k} WHERE fan > 1 AND CASE WHEN l = 0 OR all_l = l OR all_b = 0 OR all_b = all_l THEN true "
             f"ELSE (b / l - (all_b - b) / (all_l - l)) ** 2 < {z * z!r} * ((all_b / all_l) * (1 - all_b / all_l) * (1 / l + 1 / (all_l - l))) END)",
-            f"t{k + 1} AS (SELECT host, raw, CASE WHEN merged IS NULL THEN segments ELSE list_concat(list_append(list_slice(segments, 1, {k}), merged), list_slice(segments, {k + 2}, len(segments))) END AS segments, labelled, blocked "
+            f"j{k} AS (SELECT host, up, seg, CASE WHEN l = 0 AND NOT shared THEN '?' ELSE '*' END AS merged FROM v{k})",
+            f"t{k + 1} AS (SELECT host, raw, CASE WHEN merged IS NULL THEN segments ELSE list_concat(list_append(list_slice(segments, 1, {k}), merged), list_slice(segments, {k + 2}, len(segments))) END AS segments, pages, labelled, blocked "
             f"FROM s{k} LEFT JOIN j{k} USING (host, up, seg))",
         ]
     out += [
-        f"t AS (SELECT host, raw, '/' || array_to_string(segments, '/') AS template, labelled, blocked FROM t{depth})",
-        f"q AS (SELECT host, template, (sum(blocked) + {smoothing} * any_value(rate)) / (sum(labelled) + {smoothing}) AS purity FROM t, g GROUP BY host, template)",
+        f"t AS (SELECT host, raw, '/' || array_to_string(segments, '/') AS template, labelled, blocked FROM t{levels})",
+        f"q AS (SELECT host, template, (sum(blocked) + {smoothing} * any_value(rate)) / (sum(labelled) + {smoothing}) AS purity, sum(labelled) > 0 AS known FROM t, g GROUP BY host, template)",
     ]
-    verdict = f"coalesce(action, CASE WHEN purity >= {limit} THEN 'block' ELSE 'allow' END) AS verdict"
+    verdict = f"coalesce(action, CASE WHEN known AND purity >= {limit} THEN 'block' ELSE 'allow' END) AS verdict"
     return "WITH " + ",\n".join(out) + f"\nSELECT page_id, host, path, rule, {verdict}, template, round(purity, 6) AS purity FROM b JOIN t USING (host, raw) JOIN q USING (host, template)"

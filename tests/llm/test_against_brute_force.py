@@ -262,9 +262,9 @@ def test_urls(spark, sf):
 
 def test_url_templates(spark):
     rows = [(k, f"http://h.org/{part}/{k}", part == "spam", ) for k in range(300) for part in ("spam", "news", "blog")] + [(10_000 + k, f"http://h.org/{p}/{k}", None) for k in range(50) for p in ("spam", "other")]
-    df = urls.judged(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), [], label="bad")
+    df = urls.judged(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), [], label="bad", words=())
     got = {(r.path.split("/")[1], r.template, r.verdict) for r in df.collect()}
-    assert got == {("spam", "/spam/#", "block"), ("news", "/news/#", "allow"), ("blog", "/blog/#", "allow"), ("other", "/other/#", "allow")} or all(v == ("block" if p == "spam" else "allow") for p, _, v in got)
+    assert got == {("spam", "/spam/#", "block"), ("news", "/news/#", "allow"), ("blog", "/blog/#", "allow"), ("other", "/?/#", "allow")}
 
 
 def test_warc(spark, sf):
