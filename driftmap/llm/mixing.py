@@ -4,13 +4,13 @@ Every source's documents, in a seeded random order, are cut into blocks. A sourc
 owes its block i between the release time floor(i / p) and the deadline ceil((i + 1) / p), counted in slots of one block.
 Earliest deadline first among the released blocks gives every source, at every slot, less than one block more or less
 than its share. Shares are exact fractions of the weights over the whole schedule; only if a number of slots is given,
-weights are rounded to whole slots of a round of so many. The schedule is made in one pass in one task, block by block,
-with one heap entry a source. Where a source has run out, its slots stay empty and the others keep their proportions: no
+weights are rounded to whole slots of a round of so many. The schedule is made in one pass in one task from one row a source, block by block,
+with one heap entry a source (about 2 microseconds a block); the documents themselves are never brought together. Where a source has run out, its slots stay empty and the others keep their proportions: no
 document is dropped or repeated.
 
 Edge cases: a null source is a source of its own; rows that agree in id, source and text share one place; an empty table
-gives an empty result; other columns pass through; sources without a given weight, weights of zero or less, and weights
-so small that their last deadline is no 64-bit number, raise.
+gives an empty result; other columns pass through, also those named like the added ones; sources without a given weight, weights of zero or less, weights
+so small that their last deadline is no 64-bit number, and more than MOST_SOURCES sources raise.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, written
 
+#: Sources up to which one task makes the schedule; target weights are a configuration.
+MOST_SOURCES = 1_000_000
 ADDED = ("source_block", "release", "deadline", "slot", "position")
 
 
@@ -67,48 +69,50 @@ def schedule(share: dict[str, int], counts: dict[str, int], block: int) -> Itera
             heapq.heappush(waiting, ((i + 1) * total // share[k], k, i + 1))
 
 
-def schedule_table(spark: SparkSession, share: dict[str, int], counts: dict[str, int], block: int) -> DataFrame:
-    """The schedule as a written table, made batch by batch."""
+def schedule_table(counts: DataFrame, weights: dict[str, float] | None, power: float, block: int, slots: int | None) -> DataFrame:
+    """The schedule as a written table, made batch by batch in one task from counts (__key, n), one row a source."""
     names = ["__key", "source_block", "release", "deadline", "slot", "__at"]
 
     def run(batches):
-        for b in batches:
-            blocks = schedule(share, counts, block) if b.num_rows else iter(())
-            while rows := list(itertools.islice(blocks, 10_000)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
+        own = {k.as_py(): n.as_py() for b in batches for k, n in zip(*b.columns, strict=True)}
+        if not own:
+            return
+        target = {k: weights[k] if weights is not None else n**power for k, n in own.items()}
+        share = rounded(target, max(slots, 16 * len(own))) if slots else whole(target)
+        total = sum(share.values())
+        if any(-(-n // block) * total // share[k] >= 2**62 for k, n in own.items()):
+            raise ValueError("a source's weight is too small for its number of documents")
+        blocks = schedule(share, own, block)
+        while rows := list(itertools.islice(blocks, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
 
-    return written(spark.range(0, 1, 1, 1).mapInArrow(run, "__key string, source_block long, release long, deadline long, slot long, __at long"), "schedule")
+    return written(counts.select("__key", "n").coalesce(1).mapInArrow(run, "__key string, source_block long, release long, deadline long, slot long, __at long"), "schedule")
+
+
+def key_of(source: str | None) -> str:
+    return "" if source is None else f"={source}"
 
 
 def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", block: int = 64, slots: int | None = None, power: float = 0.5, seed: int = 17) -> DataFrame:
     """One row per distinct (id, source, text): __id, __source, __hash and source_block, release, deadline, slot, position.
 
-    weights: target weight per source (a configuration, so small enough for the driver); by default the document count to the given power.
+    weights: target weight per source (a configuration); by default the document count to the given power.
     slots: if given, weights are rounded to whole slots of a round of so many (16 a source at least).
     """
-    spark = docs.sparkSession
     units = docs.select(F.col(doc_id).alias("__id"), F.col(source).alias("__source"), F.xxhash64(F.lit(seed), F.col(text)).alias("__hash")).distinct()
-    units = written(units.withColumn("__order", F.xxhash64(F.lit(seed), "__id", "__hash")), "units")
-    counts = {r[0]: r[1] for r in units.groupBy("__source").count().collect()}
-    if not counts:
-        return units.drop("__order").selectExpr("*", *[f"0L AS {c}" for c in ADDED])
-    if weights is None:
-        weights = {k: n**power for k, n in counts.items()}
-    if any(weights.get(k, 0) <= 0 for k in counts):
+    units = units.withColumns({"__order": F.xxhash64(F.lit(seed), "__id", "__hash"), "__key": F.coalesce(F.concat(F.lit("="), F.col("__source").cast("string")), F.lit(""))})
+    units = written(units, "units")
+    counts = written(units.groupBy("__key").agg(F.count("*").alias("n")), "counts")
+    own = None if weights is None else {key_of(k): w for k, w in weights.items() if w > 0}
+    sources, most, without = counts.agg(F.count("*"), F.max("n"), F.count(F.when(~F.col("__key").isin(list(own)), 1)) if own is not None else F.lit(0)).first()
+    if sources > MOST_SOURCES:
+        raise ValueError(f"the schedule is made in one task for at most {MOST_SOURCES} sources; there are {sources}")
+    if without:
         raise ValueError("every source needs a target weight above zero")
-    keys = {k: f"={k}" if k is not None else "" for k in counts}
-    own = {keys[k]: n for k, n in counts.items()}
-    share = whole({keys[k]: weights[k] for k in counts})
-    if slots:
-        share = rounded({keys[k]: weights[k] for k in counts}, max(slots, 16 * len(counts)))
-    total = sum(share.values())
-    if any(-(-n // block) * total // share[k] >= 2**62 for k, n in own.items()):
-        raise ValueError("a source's weight is too small for its number of documents")
-    table = schedule_table(spark, share, own, block)
+    table = schedule_table(counts, own, power, block, slots)
     # Places within a source: rows are dealt by hash to parts, numbered in each, and moved by the parts' running sums. With
     # the square root of the count as their number, neither a part nor the list of a source's parts is large.
-    parts = math.isqrt(max(counts.values()))
-    units = units.withColumn("__key", F.coalesce(F.concat(F.lit("="), "__source"), F.lit(""))).withColumn("__part", F.pmod("__order", F.lit(parts)))
+    units = units.withColumn("__part", F.pmod("__order", F.lit(max(1, math.isqrt(most or 1)))))
     before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sums = written(units.groupBy("__key", "__part").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count"), "sums")
     inside = Window.partitionBy("__key", "__part").orderBy("__order", "__id", "__hash")
@@ -122,12 +126,13 @@ def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, d
 def mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17, place: str | None = None, **how) -> DataFrame:
     """docs in the order of the mix: partition after partition, row after row, so files written from it hold the mix.
 
-    place: a column to add with the row's position, as readers of the files may change their order.
+    place: a column to add with the row's position, as readers of the files may change their order; it replaces one of that name.
     """
-    plan = written(scheduled(docs, weights, doc_id, source, text, seed=seed, **how), "plan")
+    plan = written(scheduled(docs, weights, doc_id, source, text, seed=seed, **how).withColumnRenamed("position", "__position"), "plan")
+    kept = [c for c in docs.columns if c != place]
     n = max(1, docs.rdd.getNumPartitions())
-    most = plan.agg(F.max("position")).first()[0] or 0
-    a, h = docs, F.xxhash64(F.lit(seed), F.col(text))
-    df = a.withColumn("__h", h).join(plan.select("__id", "__source", "__hash", "position").hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__h") == F.col("__hash")))
-    df = df.withColumn("__p", F.floor(F.col("position") * n / (most + 1)).cast("int"))
-    return df.repartitionById(n, F.col("__p")).sortWithinPartitions("position", doc_id).select(*[F.col(c) for c in docs.columns], *([F.col("position").alias(place)] if place else []))
+    most = plan.agg(F.max("__position")).first()[0] or 0
+    df = docs.select(*kept, F.col(doc_id).alias("__own_id"), F.col(source).alias("__own_source"), F.xxhash64(F.lit(seed), F.col(text)).alias("__own_hash"))
+    df = df.join(plan.select("__id", "__source", "__hash", "__position").hint("merge"), F.col("__own_id").eqNullSafe(F.col("__id")) & F.col("__own_source").eqNullSafe(F.col("__source")) & (F.col("__own_hash") == F.col("__hash")))
+    df = df.withColumn("__p", F.floor(F.col("__position") * n / (most + 1)).cast("int"))
+    return df.repartitionById(n, F.col("__p")).sortWithinPartitions("__position", "__own_id").select(*kept, *([F.col("__position").alias(place)] if place else []))
