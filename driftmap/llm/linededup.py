@@ -4,7 +4,8 @@ A line's key is the line stripped of blanks at both ends, A-Z lower-cased, as tw
 batches. A run holds the keys of some batches, sorted, each with the number of documents that have it. A new batch
 merge-anti-joins the runs against keys that are already known to be frequent (they need no more counting) and adds the
 rest as a run of level 0; ``fanout`` runs of a level are merged into one of the next level. At the end the runs are
-merged once more, and keys of at least ``min_docs`` documents lose all their lines.
+merged once more, and keys of at least ``min_docs`` documents lose all their lines: a join gives each document the places
+of its dropped lines.
 
 Edge cases: null or empty text is one empty line; a key shorter than ``min_chars`` never counts; rows with the same id
 are one document when documents are counted, and each row loses its lines; an empty table gives an empty result; other
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, released, small, written
 
-ID = "__doc"
+ID, ROW = "__doc", "__text"
+ADDED = ("n_lines", "n_dropped", "kept_text")
 
 
 def lower_ascii(c: Column) -> Column:
@@ -76,17 +78,20 @@ class LineRuns:
 
 def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text (the other lines joined by newlines)."""
-    docs = docs.drop("n_lines", "n_dropped", "kept_text")
+    docs = docs.drop(*ADDED)
     long_enough = F.length(F.btrim("line", F.lit(BLANKS))) >= min_chars
-    lines = docs.select(F.col(doc_id).alias(ID), F.explode(lines_of(F.col(text))).alias("line")).where(long_enough)
-    lines = written(lines.select(ID, line_key(F.col("line")).alias("k")).select(ID, "k.*", F.pmod(F.xxhash64(ID), F.lit(batches)).cast("int").alias("batch")), "lines")
+    lines = docs.select(F.col(doc_id).alias(ID), F.xxhash64(text).alias(ROW), F.posexplode(lines_of(F.col(text))).alias("pos", "line")).where(long_enough)
+    lines = written(lines.select(ID, ROW, "pos", line_key(F.col("line")).alias("k")).select(ID, ROW, "pos", "k.*", F.pmod(F.xxhash64(ID), F.lit(batches)).cast("int").alias("batch")), "lines")
     runs = LineRuns(min_docs)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).select(ID, "a", "b").distinct())
     frequent = small(written(runs.frequent(), "frequent"))
-    drop = lines.join(frequent, ["a", "b"]).groupBy(ID).agg(F.collect_set(F.struct("a", "b")).alias("__drop"))
-    df = docs.join(written(drop, "drop").hint("merge"), docs[doc_id].eqNullSafe(F.col(ID)), "left").drop(ID)
+    released(*runs.runs())
+    drop = written(lines.join(frequent, ["a", "b"]).groupBy(ID, ROW).agg(F.collect_set("pos").alias("__drop")), "drop")
+    released(lines)
+    df = docs.withColumn("__row", F.xxhash64(text)).join(drop.hint("merge"), docs[doc_id].eqNullSafe(F.col(ID)) & (F.col("__row") == F.col(ROW)), "left").drop(ID, ROW, "__row")
     df = df.withColumn("__lines", lines_of(F.col(text)))
-    stay = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: (F.length(F.btrim(x, F.lit(BLANKS))) < min_chars) | ~F.array_contains(F.col("__drop"), line_key(x))))
-    df = df.withColumn("__stay", stay)
-    return df.withColumns({"n_lines": F.size("__lines").cast("long"), "n_dropped": (F.size("__lines") - F.size("__stay")).cast("long"), "kept_text": F.array_join("__stay", "\n")}).drop("__drop", "__lines", "__stay")
+    # Places are told apart by hash sets, so a long document with many dropped lines takes time in proportion to its lines.
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop")), lambda k: F.get("__lines", k))
+    kept = F.when(F.col("__drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(stay, "\n"))
+    return df.withColumns({"n_lines": F.size("__lines").cast("long"), "n_dropped": F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long"), "kept_text": kept}).drop("__drop", "__lines")
