@@ -2,12 +2,13 @@
 
 HTML is parsed into an ordered array of items (pos, kind, text, ref, caption): text blocks, and references to images,
 audio and video, each with the caption of its figure or its alt text. References name payloads by digest; a join on the
-digest resolves them, and position and caption stay with the item. Payloads are kept in a media store as binary pixmaps
+digest resolves them, and position and caption stay with the item; items without a reference take part in no join, so they
+meet in no task. Payloads are kept in a media store as binary pixmaps
 of 64 pixels a row, 8 bits a sample, which give the bytes back unchanged.
 
 Edge cases: null or empty html has no items; a reference that no payload answers stays with a null payload; repeated
 rows keep their own sequences; equal payloads are one payload; an empty table gives an empty result; other columns
-pass through, columns named like the added ones are replaced.
+pass through, columns named like an item's fields or the media table's columns are replaced.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import BLANKS, shared_dir, written
 
 ITEMS = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>"
+FIELDS = ("pos", "kind", "text", "ref", "caption")
+SLICE = 500
 WIDTH = 64
 ROW = 3 * WIDTH
 MEDIA_TAGS = {"img": "image", "video": "video", "audio": "audio"}
@@ -100,16 +103,20 @@ def with_items(df: DataFrame, html: str = "html") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([items_of(x.as_py()) for x in b.column(place)], kind)], names=[*b.schema.names, "items"])
+            for k in range(0, len(b), SLICE):  # parsed items are larger than their text
+                part = b.slice(k, SLICE)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([items_of(x.as_py()) for x in part.column(place)], kind)], names=[*b.schema.names, "items"])
 
     return df.mapInArrow(run, df.withColumn("items", F.lit(None).cast(ITEMS)).schema)
 
 
 def resolved(df: DataFrame, media: DataFrame, digest: str = "digest") -> DataFrame:
     """One row per item of df.items, its fields beside df's other columns, joined with the media table (one row per digest)."""
-    kept = [c for c in df.columns if c != "items"]
+    kept = [c for c in df.columns if c not in {"items", *FIELDS, *media.columns}]
     items = df.select(*kept, F.explode_outer("items").alias("__item")).select(*kept, "__item.*")
-    return items.join(media, items["ref"] == media[digest], "left").drop(media[digest])
+    # Rows without a reference get keys that no digest has and that are spread evenly.
+    items = items.withColumn("__ref", F.coalesce("ref", F.concat(F.lit(" "), F.xxhash64("text", "pos").cast("string"))))
+    return items.join(media, items["__ref"] == media[digest], "left").drop(media[digest]).drop("__ref")
 
 
 def to_pixmap(payload: bytes) -> bytes:
@@ -181,12 +188,21 @@ def features(store: DataFrame) -> DataFrame:
     return store.select("digest", "media").mapInArrow(run, schema).dropDuplicates(["digest"])
 
 
+def page_of(text: F.Column, figure: F.Column) -> F.Column:
+    """HTML of a text: a paragraph for each line that is not blank, with the figure in the middle."""
+    plain = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.transform(F.filter(F.split(plain, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    half = F.ceil(F.size(lines) / 2).cast("int")
+    return F.concat(F.lit("<article>"), F.array_join(F.slice(lines, 1, half), ""), figure, F.array_join(F.slice(lines, half + 1, F.size(lines)), ""), F.lit("</article>"))
+
+
 def document_media(docs: DataFrame) -> DataFrame:
-    """Each row of docs (doc_id, text) as a page that shows its text as a picture: the resolved items, with n_bytes."""
+    """Each row of docs (doc_id, text) as a page of its lines around a picture of its text: the resolved items in order, with n_bytes of the text and n_items of the page."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumn("payload", padded("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     store = media_store(df, shared_dir(docs.sparkSession, "media"))
     found = written(features(store), "features")
     ref = F.concat(F.lit("sha256:"), F.sha2("payload", 256))
-    html = F.concat(F.lit("<article><p>Document</p><figure><img src='"), ref, F.lit("'><figcaption>"), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
-    return resolved(with_items(df.select("doc_id", "n_bytes", html.alias("html"))).drop("html"), found)
+    figure = F.concat(F.lit("<figure><img src='"), ref, F.lit("'><figcaption>"), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure>"))
+    pages = with_items(df.select("doc_id", "n_bytes", page_of(F.col("text"), figure).alias("html"))).drop("html")
+    return resolved(pages.withColumn("n_items", F.size("items").cast("long")), found)

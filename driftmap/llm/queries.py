@@ -59,7 +59,7 @@ def op3_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = media.document_media(table(spark, sf_dir, "documents").select("doc_id", "text")).where("kind = 'image'")
-    return df.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    return df.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "n_items", "caption")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_warc_packages, op4_line_dedup, op5_bpe, op6_token_records, op7_mixing, op8_media_columns, op9_substring_dedup, op10_near_dedup)}
 ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.QUALITY,
-    "op2_url_filter": oracles.url_sql(RULES),
+    "op2_url_filter": oracles.url_sql(RULES, urls.UNWANTED, urls.FAN),
     "op3_warc_packages": oracles.ARCHIVES,
     "op4_line_dedup": oracles.LINES,
     "op9_substring_dedup": oracles.REPEATS,
