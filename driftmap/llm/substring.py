@@ -46,7 +46,7 @@ class Words:
 
 def edges(docs: DataFrame, window: int) -> DataFrame:
     """(__d, __t, pos, h, succ, pred): the named k-mers of each text, with hashes of the words up to the next and from the previous one (0: none)."""
-    schema = "__d long, __t int, pos int, h long, succ long, pred long"
+    schema = "__d long, __t long, pos int, h long, succ long, pred long"
 
     def run(batches):
         w = Words(window)
@@ -61,7 +61,7 @@ def edges(docs: DataFrame, window: int) -> DataFrame:
                 next_ = w.one.of(sums, at[:-1], at[1:] + w.k) | np.uint64(1)
                 none = np.zeros(1, np.uint64)
                 own = w.one.of(sums, at, at + w.k)
-                out.append((np.full(len(at), d), np.full(len(at), t, np.int32), at.astype(np.int32), own.view(np.int64), np.concatenate((next_, none)).view(np.int64), np.concatenate((none, next_)).view(np.int64)))
+                out.append((np.full(len(at), d), np.full(len(at), t), at.astype(np.int32), own.view(np.int64), np.concatenate((next_, none)).view(np.int64), np.concatenate((none, next_)).view(np.int64)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["__d", "__t", "pos", "h", "succ", "pred"])
 
@@ -73,7 +73,7 @@ def spans(df: DataFrame, window: int) -> DataFrame:
 
     __at: sorted places of repeated edges, times four, plus 2 if all go on alike and 1 if all come from one edge.
     """
-    schema = "a long, b long, __d long, __t int, start int, size int"
+    schema = "a long, b long, __d long, __t long, start int, size int"
 
     def run(batches):
         w = Words(window)
@@ -100,7 +100,7 @@ def spans(df: DataFrame, window: int) -> DataFrame:
                 start, stop = np.concatenate((begin, starts)), np.concatenate((end, starts + window))
                 a = w.one.of(w.one.sums(h), start, stop)
                 b = w.two.of(w.two.sums(mixed(h)), start, stop)
-                out.append((a.view(np.int64), b.view(np.int64), np.full(len(start), d), np.full(len(start), t, np.int32), start.astype(np.int32), (stop - start).astype(np.int32)))
+                out.append((a.view(np.int64), b.view(np.int64), np.full(len(start), d), np.full(len(start), t), start.astype(np.int32), (stop - start).astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b", "__d", "__t", "start", "size"])
 
@@ -108,8 +108,8 @@ def spans(df: DataFrame, window: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs with the keys of a row: __d, the id, and __t, a hash of the text that tells rows of one id apart."""
-    return docs.withColumns({"__d": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "__t": F.hash(text)})
+    """docs with the keys of a row: __d, the id, and __t, a 64-bit hash of the text that tells rows of one id apart."""
+    return docs.withColumns({"__d": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "__t": F.xxhash64(text)})
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
