@@ -7,7 +7,8 @@ finds the central directory from the package's end, or through the ZIP64 locator
 members from it, reads the index and then each record by its range.
 
 Edge cases: null html is an empty payload; rows that repeat the smallest id of a payload are all responses; null ids
-come after others; an empty table gives no packages and an empty result; columns besides id, url and html are not stored.
+come after others; a null url comes back as null, line ends in a url come back percent-encoded (%0D, %0A), as headers cannot
+hold them; an empty table gives no packages and an empty result; columns besides id, url and html are not stored.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ def id_of(text: str) -> int | None:
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """One WARC record as a gzip member."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (b"" if revisit else payload)
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"), f"WARC-Payload-Digest: sha1:{digest_of(payload)}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest_of(payload)}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    if url is not None:
+        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}"]
     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -157,7 +160,7 @@ def read_packages(packages: DataFrame) -> DataFrame:
                     digest = fields["WARC-Payload-Digest"].partition(":")[2]
                     if not revisit and digest != digest_of(payload):
                         raise ValueError(f"a payload in {path} differs from its digest")
-                    rows.append((id_of(fields["WARC-Record-ID"]), fields["WARC-Type"], id_of(fields["WARC-Refers-To"]) if revisit else None, digest, int(fields["X-Payload-Length"]) if revisit else len(payload), fields["WARC-Target-URI"], None if revisit else payload))
+                    rows.append((id_of(fields["WARC-Record-ID"]), fields["WARC-Type"], id_of(fields["WARC-Refers-To"]) if revisit else None, digest, int(fields["X-Payload-Length"]) if revisit else len(payload), fields.get("WARC-Target-URI"), None if revisit else payload))
                     if len(rows) == 500:
                         yield batch(rows)
                         rows = []
