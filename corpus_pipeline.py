@@ -6,7 +6,7 @@ and hands the written table to the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmap.llm import bpe, linededup, mixing, neardup, quality
@@ -14,17 +14,25 @@ from driftmap.llm.common import written
 from driftmap.llm.queries import tokenizer
 
 
+def apart(docs: DataFrame, added: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """docs with those columns renamed that an operator would replace, and the columns that give back docs'."""
+    names = [f"__own_{c}" if c in added else c for c in docs.columns]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the document rules and whose host is not rejected."""
-    return quality.judged(docs).where("kept").select(*docs.columns)
+    df, own = apart(docs, quality.ADDED)
+    return quality.judged(df).where("kept").select(*own)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more of them share; n_chars follows the text."""
-    df = linededup.deduped(docs, min_docs=10)
+    df, own = apart(docs, linededup.ADDED)
+    df = linededup.deduped(df, min_docs=10)
     changed = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
     df = df.withColumn("text", changed).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+    return df.select(*own)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mix), ("BPE encoding", encode)]
-#: Near dedup by MinHash and the schedule are not expressible in SQL; tests compare run() with a brute-force version.
+#: The schedule and the tokenizer are not expressible in SQL; tests/llm/test_pipeline_rows.py compares run() with plain Python.
 ORACLE_SQL = None
 
 

@@ -21,6 +21,8 @@ from .common import add_columns, small, written
 
 FIELDS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType())]
 
+ADDED = (*[n for n, _ in FIELDS], "base_failed", "kept", "host_rate")
+
 
 def repeat_words(words: list[bytes], window: int = 3) -> int:
     """Words that lie in a window of ``window`` words found at least twice in the text."""
@@ -62,7 +64,7 @@ def document_rules(text: str | None) -> tuple[int, int, int, int, int]:
 
 def scored(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the rule columns and base_failed."""
-    docs = docs.drop(*[n for n, _ in FIELDS], "base_failed", "kept", "host_rate")
+    docs = docs.drop(*ADDED)
     df = add_columns(docs, [text], FIELDS, lambda: lambda col: zip(*map(document_rules, col.to_pylist()), strict=True) if len(col) else [[]] * 5)
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
