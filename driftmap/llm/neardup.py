@@ -5,8 +5,8 @@ signature of TREES * BASE minima, of which one byte each is kept. Every tree is
 minima, beginning with the tree's own. Neighbours in an order have the longest common prefixes; classes that share BASE minima
 or more form a region. The depth adapts to the region: where more than CROWDED classes share a prefix, neighbours must
 share a longer one. Each class takes its deepest neighbour and the one of the smallest id from all orders; pairs that pass the
-bounds on set sizes and signatures are confirmed on the full sets and grown into components. Of all other neighbours, one
-pair for every two components that neighbour each other follows in a second round.
+bounds on set sizes and signatures are confirmed on the full sets and grown into components. In a second round each component does the same with its
+neighbours in others.
 
 Regions that still hold several components then go through an exact join on the rare shingles of their sets, which leaves
 no similar pair of them out and enumerates neither all pairs of a region nor those of a frequent shingle. Two classes of similarity 0.8 share
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import WordHashes, add_columns, mixed, released, small, tidied, written
 
-TREES, BASE, LEVELS, CROWDED = 40, 5, 8, 64
+TREES, BASE, LEVELS, CROWDED, PICKS = 40, 5, 8, 64, 4
 HASHES = TREES * BASE
 
 
@@ -280,30 +280,45 @@ def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     return written(ids.join(more, F.col("component") == F.col("__id"), "left").select("id", F.coalesce("__to", "component").alias("component")), "components")
 
 
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (id, component) with components joined by more links (a, b): only the components that these touch are worked on."""
+    own = groups.select("id", "component")
+    ends = links.join(own.toDF("a", "c"), "a", "left").join(own.toDF("b", "d"), "b", "left").select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b"))
+    more = components(written(ends.where("a <> b").distinct(), "ends")).toDF("__id", "__to")
+    ids = own.union(links.select("a", "a")).union(links.select("b", "b")).groupBy("id").agg(F.min("component").alias("component"))
+    return written(ids.join(more, F.col("component") == F.col("__id"), "left").select("id", F.coalesce("__to", "component").alias("component")), "components")
+
+
 def pairs_of(df: DataFrame, other: str) -> DataFrame:
     """Distinct (a, b), a < b, of the columns id and other."""
     return df.where(F.col("id") != F.col(other)).select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
 
 
+def followed(neighbours: DataFrame, one: str, two: str) -> DataFrame:
+    """Of neighbours (a, b, depth), those that either side follows, sides being told by the columns one and two: PICKS of the greatest depth and that of the smallest other side."""
+    sides = neighbours.select(F.col(one).alias("k"), F.col(two).alias("o"), "a", "b", "depth").union(neighbours.select(two, one, "a", "b", "depth"))
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("depth"), F.xxhash64("a", "b")))
+    least = sides.groupBy("k").agg(F.min_by("a", "o").alias("a"), F.min_by("b", "o").alias("b"))
+    return sides.withColumn("r", rank).where(F.col("r") <= PICKS).select("a", "b").union(least.select(F.least("a", "b"), F.greatest("a", "b"))).where("a < b").distinct()
+
+
 def grown(found: DataFrame, classes: DataFrame, known: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(components, pairs tested on full sets) from the forest's neighbours alone; known: links (a, b) there are already."""
-    order = found.where("prev IS NOT NULL").select("id", "prev", "lcp")
-    either = order.union(order.select("prev", "id", "lcp"))
-    deepest = F.shiftleft((LEVELS - F.col("lcp")).cast("long"), 56) + F.shiftrightunsigned(F.xxhash64(F.least("id", "prev"), F.greatest("id", "prev")), 8)  # ties by chance
-    picks = either.groupBy("id").agg(F.min_by("prev", deepest).alias("x"), F.min("prev").alias("y"))
-    picks = written(picks, "picks")
-    first = written(alike(pairs_of(picks, "x").union(pairs_of(picks, "y")).distinct(), classes, percent), "near")
-    links = confirmed(first, docs, doc_id, text, words, percent).union(known)
-    tidied(classes.sparkSession)
-    groups = components(links)
-    # Of the other neighbours, one pair for every two components; what it misses is left to the exact join.
+    how, spark = (docs, doc_id, text, words, percent), classes.sparkSession
+    order = found.where("prev <> id").select(F.least("id", "prev").alias("a"), F.greatest("id", "prev").alias("b"), "lcp")
+    neighbours = written(order.groupBy("a", "b").agg(F.sum("lcp").alias("depth")), "neighbours")
+    first = written(alike(followed(neighbours, "a", "b"), classes, percent), "near")
+    links = confirmed(first, *how)
+    tidied(spark)
+    groups = components(links.union(known))
+    # Components follow neighbours not compared yet; what they miss is left to the exact join.
     own = groups.select("id", "component")
-    at = order.join(own.toDF("id", "c"), "id", "left").join(own.toDF("prev", "d"), "prev", "left").withColumns({"c": F.coalesce("c", "id"), "d": F.coalesce("d", "prev")}).where("c <> d")
-    at = at.groupBy(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).agg(F.min_by("id", deepest).alias("id"), F.min_by("prev", deepest).alias("prev"))
-    second = written(alike(pairs_of(at, "prev").join(first, ["a", "b"], "left_anti"), classes, percent), "near")
-    more = confirmed(second, docs, doc_id, text, words, percent)
-    released(picks)
-    tidied(classes.sparkSession)
+    apart = neighbours.join(first, ["a", "b"], "left_anti").join(own.toDF("a", "c"), "a", "left").join(own.toDF("b", "d"), "b", "left").withColumns({"c": F.coalesce("c", "a"), "d": F.coalesce("d", "b")})
+    apart = written(apart.where("c <> d").select("a", "b", "depth", "c", "d"), "apart")
+    second = written(alike(followed(apart, "c", "d"), classes, percent), "near")
+    more = confirmed(second, *how)
+    released(neighbours, apart)
+    tidied(spark)
     return (joined(groups, more) if more.limit(1).count() else groups), first.union(second)
 
 
