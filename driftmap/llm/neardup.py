@@ -9,7 +9,7 @@ bounds on set sizes and signatures are confirmed on the full sets and grown into
 neighbours in others.
 
 Regions that still hold several components then go through an exact join on the rare shingles of their sets, which leaves
-no similar pair of them out and enumerates neither all pairs of a region nor those of a frequent shingle. Two classes of similarity 0.8 share
+no similar pair of them out. Its pairs can still grow with the square of a large group whose similarities lie around the threshold. Two classes of similarity 0.8 share
 no region with probability (1 - 0.8**5)**40, about 1e-7; that chance is the only inexactness.
 
 Scale: the orders are dealt by range with the id as the last key, so a group of a third of all classes is spread evenly; a task
@@ -215,8 +215,8 @@ def prefix_pairs(open_: DataFrame, docs: DataFrame, doc_id: str, text: str, word
 
     Shingles are ordered from rare to frequent. Two similar sets of n <= m shingles share at least percent / (100 + percent) of n + m,
     so the first that they share lies among the first n - 2 * percent / (100 + percent) * n + 1 of the smaller set and the first
-    m - percent % of m + 1 of the larger one, and after it enough must be left in both. Where many sets that are just too different share
-    their frequent shingles, those come after the smaller set's bound and make no pairs.
+    m - percent % of m + 1 of the larger one, and after it enough must be left in both. Shingles that many sets share come last and often lie
+    after the smaller set's bound; those that do not make as many pairs as sets that share them.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     own = own.join(small(open_, 500_000), "id").select("id", "component", "text")
