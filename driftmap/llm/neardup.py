@@ -4,9 +4,9 @@ A text is the set of its distinct shingles of ``words`` words, A-Z lower-cased.
 signature of TREES * BASE minima, of which one byte each is kept. Every tree is a sorted order of all classes by LEVELS
 minima, beginning with the tree's own. Neighbours in an order have the longest common prefixes; classes that share BASE minima
 or more form a region. The depth adapts to the region: where more than CROWDED classes share a prefix, neighbours must
-share a longer one. Each class takes its deepest neighbour and the one of the smallest id from all orders; pairs that pass the
-bounds on set sizes and signatures are confirmed on the full sets and grown into components. In a second round each component does the same with its
-neighbours in others.
+share a longer one. Over all orders together, each class follows the PICKS neighbours of the greatest common depth, and that of
+the smallest id; pairs that pass the bounds on set sizes and signatures are confirmed on the full sets and grown into components. In a second
+round each component does the same with neighbours in other components.
 
 Regions that still hold several components then go through an exact join on the rare shingles of their sets, which leaves
 no similar pair of them out. Its pairs can still grow with the square of a large group whose similarities lie around the threshold. Two classes of similarity 0.8 share
