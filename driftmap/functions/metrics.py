@@ -53,6 +53,28 @@ def tile(name: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(out) if name == "euclidean" else out
 
 
+def rough_tile(name: str, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """A tile, and how far a distance may be off it: squared ones by one product of matrices, others as tile() has them, with 0."""
+    if name == "sqeuclidean":
+        a, b = (x * x).sum(1), (y * y).sum(1)
+        out = np.hstack([-2 * x, a[:, None], np.ones((len(x), 1))]) @ np.hstack([y, np.ones((len(y), 1)), b[:, None]]).T
+        # Twice what rounding can add up to in norms, product and exact sum.
+        slack = (8 * x.shape[1] + 64) * np.finfo(float).eps * (np.sqrt(a.max()) + np.sqrt(b.max())) ** 2
+        if np.isfinite(slack) and slack > 0:
+            return out, slack
+    return tile(name, x, y), 0.0
+
+
+def of_pairs(name: str, x: np.ndarray, y: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The squared distances of the rows x[at] and y[to], summed by coordinate in order, as in the Column form."""
+    assert name == "sqeuclidean"
+    out = np.zeros(len(at))
+    for c in range(x.shape[1]):
+        diff = x[at, c] - y[to, c]
+        out += diff * diff
+    return out
+
+
 def spread(points: DataFrame) -> DataFrame:
     """points (i, ...) dealt evenly to as many tasks as there are cores: the side of a cross join that its work is split by."""
     return points.repartition(points.sparkSession.sparkContext.defaultParallelism, "i")

@@ -58,7 +58,7 @@ def phases(iterations: int) -> list[tuple[int, bool, bool]]:
 
 def neighbours(vectors: DataFrame, s: Settings, dimension: int | None = None) -> DataFrame:
     if s.knn_method == "bruteforce":
-        return knn.knn_bruteforce(vectors, s.neighbors, s.metric)
+        return knn.knn_bruteforce(vectors, s.neighbors, s.metric, s.knn_blocks)
     if s.knn_method == "partition":
         return knn.knn_blocked(vectors, s.neighbors, s.metric, s.knn_blocks)
     if s.knn_method == "project":
