@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cut import cut, planning, released
 from ..functions.metrics import metric as metric_of
-from ..operators import affinity, knn, layout, tree
+from ..operators import affinity, held, knn, layout, tree
 
 
 @dataclass
@@ -71,14 +71,37 @@ def step(joint: DataFrame, state: DataFrame, s: Settings, exaggerated: bool, fin
     return layout.center_embedding(moved(joint, state, s, exaggerated, final, push))
 
 
-def moved(joint: DataFrame, state: DataFrame, s: Settings, exaggerated: bool, final: bool, push: DataFrame | None = None) -> DataFrame:
-    """The working set after one step, as a written table; not centred."""
+def moved(joint: DataFrame, state: DataFrame | held.Held, s: Settings, exaggerated: bool, final: bool, push: DataFrame | held.Forces | None = None) -> DataFrame | held.Held:
+    """The working set after one step, as a written table or held; not centred."""
+    if isinstance(state, held.Held):
+        return held.updated(state, push, s.final_momentum if final else s.initial_momentum, s.learning_rate)
     grad = layout.gradient(joint, state, s.metric, s.theta, s.early_exaggeration if exaggerated else 1.0, push)
     return cut(layout.update_embedding(grad, state, s.final_momentum if final else s.initial_momentum, s.learning_rate), "state")
 
 
 def optimize(joint: DataFrame, state: DataFrame, s: Settings) -> Result:
-    """All phases. Every tenth iteration logs the loss of the embedding that enters it.
+    """All phases. Every tenth iteration logs the loss of the embedding that enters it."""
+    small = held.working_set(state)
+    return by_tables(joint, state, s) if small is None else by_held(joint, small, s)
+
+
+def by_held(joint: DataFrame, state: held.Held, s: Settings) -> Result:
+    """optimize() of a working set that is counted to be small: an iteration is one job without a plan or a written table."""
+    edges, out, at = held.dealt_edges(joint), Result(None), 0
+    for count, exaggerated, final in phases(s.iterations):
+        for _ in range(count):
+            at += 1
+            push = held.forces(edges, state, s.metric, s.theta, s.early_exaggeration if exaggerated else 1.0, at % 10 == 0)
+            if at % 10 == 0:
+                out.loss[at], out.kl[at] = push.losses()
+            state = held.centred(moved(edges, state, s, exaggerated, final, push))
+    edges.unpersist()
+    out.embedding = state.table(joint.sparkSession)
+    return out
+
+
+def by_tables(joint: DataFrame, state: DataFrame, s: Settings) -> Result:
+    """optimize() of any working set.
 
     An iteration writes two tables, the repulsion and the state, and deletes those of the one before; its lineage and size estimates
     begin at files. The joint distribution is kept dealt by i; a lost part is read again from its written table.
