@@ -50,6 +50,20 @@ def test_an_iteration_is_one_job(spark):
     assert jobs[1] - jobs[0] == 6  # by tables, an iteration was about 20 jobs, whose plans and threads filled the driver
 
 
+def test_an_iteration_over_filled_caches_is_one_job(spark):
+    """The test above counts the jobs that fill both caches to its first run, of 3 steps."""
+    joint, state = some(spark, alone=0)
+    joint, state = joint.cache(), state.cache()
+    assert joint.count() and state.count()
+    jobs = []
+    for n in (3, 9):
+        spark.sparkContext.setJobGroup(f"filled-{n}", "steps")
+        pipeline.optimize(joint, state, Settings(perplexity=3.0, neighbors=6, iterations=n, learning_rate=5.0))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"filled-{n}")))
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert jobs[1] - jobs[0] == 6
+
+
 def test_more_points_than_are_held_go_by_tables(spark, monkeypatch):
     joint, state = some(spark, alone=0)
     s = Settings(perplexity=3.0, neighbors=6, iterations=3, learning_rate=5.0)
