@@ -38,12 +38,18 @@ def low_distance(metric: str) -> Column:
     raise ValueError(f"Metric '{metric}' not defined")
 
 
+def exact_sum(term: Column) -> Column:
+    """The sum of terms of 1 at most: their multiples of 2**-30 add up without rounding (to 2**23), and the rest is too small to matter."""
+    high = F.rint(term * 2.0**30) / 2.0**30
+    return F.sum(high) + F.sum(term - high)
+
+
 def repulsion_exact(y: DataFrame) -> DataFrame:
-    """(i, r0, r1, sq): the sums over all other points; N * N pairs by definition."""
+    """(i, r0, r1, sq): the sums over all other points, which no order of the points changes; N * N pairs by definition."""
     a, b = spread(y.select("i", "y0", "y1")), y.select(F.col("i").alias("j"), F.col("y0").alias("z0"), F.col("y1").alias("z1"))
     q = 1 / (1 + low_distance("sqeuclidean"))
     pairs = a.crossJoin(b).where("i <> j").select("i", q.alias("q"), (F.col("y0") - F.col("z0")).alias("dx"), (F.col("y1") - F.col("z1")).alias("dy"))
-    return pairs.groupBy("i").agg(F.sum(F.col("q") * F.col("q") * F.col("dx")).alias("r0"), F.sum(F.col("q") * F.col("q") * F.col("dy")).alias("r1"), F.sum("q").alias("sq"))
+    return pairs.groupBy("i").agg(exact_sum(F.col("q") * F.col("q") * F.col("dx")).alias("r0"), exact_sum(F.col("q") * F.col("q") * F.col("dy")).alias("r1"), exact_sum(F.col("q")).alias("sq"))
 
 
 def placed_edges(joint: DataFrame, y: DataFrame, metric: str = "sqeuclidean") -> DataFrame:
