@@ -15,7 +15,7 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from .layout import MIN_GAIN
-from .tree import DEPTH, all_pairs, near_order, traverse, width_of
+from .tree import DEPTH, all_pairs, children, near_order, traverse, width_of
 
 #: Points up to which the working set is held: 56 bytes each.
 HELD_POINTS = 200_000
@@ -66,7 +66,10 @@ def working_set(state: DataFrame) -> Held | None:
 
 
 def dealt_edges(joint: DataFrame) -> RDD:
-    """The joint distribution as rows of packed runs (i, j, p), dealt and sorted by i and kept; a lost part is made again from joint."""
+    """The joint distribution as rows of packed runs (i, j, p), dealt and sorted by i and kept; a lost part is made again from joint.
+
+    A session may deal them to more partitions than there are cores, each of which would cost every iteration a task.
+    """
 
     def pack(batches):
         for b in batches:
@@ -74,7 +77,7 @@ def dealt_edges(joint: DataFrame) -> RDD:
 
     parts = joint.sparkSession.sparkContext.defaultParallelism
     rows = joint.select("i", "j", "p").repartition(parts, "i").sortWithinPartitions("i", "j").mapInArrow(pack, "i binary, j binary, p binary")
-    return rows.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+    return rows.rdd.coalesce(parts).map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def low_q(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,12 +150,13 @@ def forces(edges: RDD, state: Held, metric: str, theta: float, scale: float, log
     sc, parts, n = edges.context, edges.getNumPartitions(), len(state.i)
     width = state.width()
     near = np.argsort(near_order(state.y, width), kind="stable")
-    given = sc.broadcast((state.i, state.y, near, pyramid(state.y, width) if theta > 0 and n else []))
+    cells = pyramid(state.y, width) if theta > 0 and n else []
+    given = sc.broadcast((state.i, state.y, near, cells, children(cells)))
 
     def run(k: int, rows: Iterator) -> Iterator:
-        ids, y, near, cells = given.value
+        ids, y, near, cells, below = given.value
         at = np.array_split(near, parts)[k]
-        push, sq = traverse(y[at], cells, theta, width) if theta > 0 else all_pairs(y[at], y)
+        push, sq = traverse(y[at], cells, theta, width, below=below) if theta > 0 else all_pairs(y[at], y)
         yield at, push, sq, *pulled(rows, ids, y, metric, scale, logged)
 
     out = Forces(np.zeros((n, 2)), np.zeros((n, 2)), np.zeros(n), np.zeros(n, bool), np.zeros(4))

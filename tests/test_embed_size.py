@@ -68,3 +68,15 @@ def test_products_lose_no_digits_at_any_scale(scale):
     with np.errstate(all="ignore"):
         got, want = tree.summed_whole(x, mean, n, leaf), tree.summed(x, mean, n, leaf)
     assert np.allclose(got, want, rtol=1e-11, atol=1e-13 * abs(want).max())
+
+
+def test_edges_lie_in_no_more_parts_than_there_are_cores(spark, monkeypatch):
+    frame = type(spark.range(0))
+    dealt = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *by: dealt(self, 211, *by))  # as a session with many partitions may have it
+    joint = spark.createDataFrame([(i, j, 0.01) for i in range(40) for j in range(40) if i != j], "i long, j long, p double")
+    edges = held.dealt_edges(joint)
+    got = [(int(a), int(b)) for r in edges.collect() for a, b in zip(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], np.int64), strict=True)]
+    assert edges.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert len(got) == 40 * 39 and len(set(got)) == 40 * 39
+    edges.unpersist()
