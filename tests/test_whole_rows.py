@@ -40,3 +40,14 @@ def test_search_leaves_out_only_what_changes_no_sum():
         h = -(p[a:b][p[a:b] > 0] * np.log(p[a:b][p[a:b] > 0])).sum()
         assert abs(p[a:b].sum() - 1) < 1e-12 and (a == 0 or abs(h - np.log(5.0)) < 1.1e-5)
     assert np.isnan(p[3603]) and p[3601] == 0 and abs(np.nansum(p[3600:]) - 1) < 1e-12
+
+
+@pytest.mark.parametrize("edges", [1 << 25, 60_000])
+def test_distance_csv_goes_by_runs_of_points(spark, sf, monkeypatch, edges):
+    monkeypatch.setattr(registry, "CSV_EDGES", edges)
+    made = []
+    monkeypatch.setattr(registry, "csv_of", lambda df, name, f=registry.csv_of: made.append(f(df, name)) or made[-1])
+    got = registry.csv_distance_affinities(spark, sf)
+    assert len(made) == -(-500 // (edges // 500)) and not any(os.path.exists(m.removeprefix("file://")) for m in made)
+    want = registry.distance_matrix_affinities(spark, sf)
+    assert got.count() == 250_000 and not got.exceptAll(want).count()
